@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import encoding, packing, wavelet
-from graphloom.llm.shared import tokenizer_path
+from pyspark.sql import functions as F
+
+from graphloom.llm import encoding, packing, quality, substring, toxicity, wavelet
+from graphloom.llm.shared import remainder, tokenizer_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -16,11 +18,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factorization machine, learned outside the held-out fold, over every whole text."""
+    docs = _read(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (remainder("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms")
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 13 words that an earlier document has, by relative Lempel-Ziv factors."""
+    return substring.dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded-space online packing of all documents into windows of 4096."""
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(WORDS))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule ledger with the current policy's verdict."""
+    return quality.judge(quality.ledger(_read(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE by contiguous rank arrays, there and back."""
     return encoding.encode(_read(spark, sf_dir, "documents"), tokenizer_path(WORDS), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -33,8 +52,8 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op6_bpe, op7_wavelet)}
+    return {f.__name__: f for f in (op1_toxicity, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.SQL}
