@@ -130,9 +130,24 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
             gv[hit] += dv[hit] ** 2
             m.weight[hit] -= rate * 4 * dw[hit] / np.sqrt(gw[hit])
             m.factor[hit] -= rate * dv[hit] / np.sqrt(gv[hit])
+    p = m.score(doc, term, n)
+    m.bias -= _cut(np.log(p / (1 - p)), label)
     return m
 
 
+def _cut(z: np.ndarray, label: np.ndarray) -> float:
+    """Of the points that part the sample with fewest errors, the middle of the widest gap."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], label[order]
+    errors = np.concatenate([[(1 - y).sum()], (1 - y).sum() + np.cumsum(2 * y - 1)])[1:-1]  # all up to here called 0
+    gap = np.diff(z)
+    best = np.flatnonzero((errors == errors[gap > 0].min()) & (gap > 0)) if (gap > 0).any() else []
+    if not len(best):
+        return 0.0
+    i = best[np.argmax(gap[best])]
+    return float((z[i] + z[i + 1]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, folds: int = FOLDS, doc: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Machine:
     """Fits on at most `max_rows` labelled rows outside the held-out fold."""
     known = labels.select(F.col(doc).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter((remainder("doc_id", folds) > 0) & F.col("y").isin(0, 1))
