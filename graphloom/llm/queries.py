@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import encoding, packing, quality, substring, toxicity, wavelet
+from graphloom.llm import encoding, neardup, packing, quality, substring, toxicity, wavelet
 from graphloom.llm.shared import remainder, tokenizer_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -25,6 +25,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (remainder("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_terms")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes by ProbMinHash: one row per document."""
+    return neardup.classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 13 words that an earlier document has, by relative Lempel-Ziv factors."""
     return substring.dedup(_read(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet)}
 
 
 def oracle_sql() -> dict[str, str]:
