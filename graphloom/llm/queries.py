@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import encoding, neardup, packing, quality, substring, toxicity, wavelet
+from graphloom.llm import chat, encoding, neardup, neighbours, packing, quality, substring, toxicity, wavelet
 from graphloom.llm.shared import remainder, tokenizer_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -56,9 +56,20 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(docs, tokenizer_path(BYTES), wavelet.new_folder(docs)))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every speaker's perspective."""
+    return chat.rotate(_read(spark, sf_dir, "conversations"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest by cosine, of every fiftieth row among all rows."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet, op9_chat, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL}
+    return {"op5_quality": quality.SQL, "op9_chat": chat.SQL}
