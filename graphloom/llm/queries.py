@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, encoding, neardup, neighbours, packing, quality, substring, toxicity, wavelet
+from graphloom.llm import chat, encoding, neardup, neighbours, packing, quality, scoring, substring, toxicity, wavelet
 from graphloom.llm.shared import remainder, tokenizer_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -56,6 +56,11 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(docs, tokenizer_path(BYTES), wavelet.new_folder(docs)))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and causal self-attention score of every document."""
+    return scoring.score(_read(spark, sf_dir, "documents"), tokenizer_path(WORDS))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every speaker's perspective."""
     return chat.rotate(_read(spark, sf_dir, "conversations"))
@@ -68,7 +73,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet, op9_chat, op10_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_neardup, op3_substring, op4_packing, op5_quality, op6_bpe, op7_wavelet, op8_scoring, op9_chat, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
