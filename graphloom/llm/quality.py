@@ -106,6 +106,21 @@ def ledger(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     return rows.withColumn("failed_bits", F.expr(bits_sql()).cast("long"))
 
 
+def accept(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The documents, all columns, that pass the base rules and the policy."""
+    rules = [(bit, when) for bit, _, when in RULES if (POLICIES[policy] | BASE) >> bit & 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, buf, off in tc.slices(batches, text=text):
+            m = measure(buf, off)
+            bad = np.zeros(b.num_rows, bool)
+            for _, when in rules:
+                bad |= eval(when, {}, m)  # one of RULES, not data
+            yield b.filter(pa.array(~bad))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with base_failed and the policy's verdict."""
     bad = F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0

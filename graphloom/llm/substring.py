@@ -43,6 +43,8 @@ LAST = np.iinfo(np.int64).max
 
 def located(docs: DataFrame) -> DataFrame:
     """docs with the file and the row of each document; what does not come straight from files is written first."""
+    if {"_file", "_row"} <= set(docs.columns):
+        return docs
     try:
         return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
