@@ -82,7 +82,7 @@ def fit(sample: np.ndarray, rotations: int = 3, steps: int = 25, k: int = 5, rea
     mean = unit.mean(0)
     x = unit - mean
     d = x.shape[1]
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
+    axes = np.linalg.eigh(x.T @ x)[1].T[::-1]
     turns = []
     for _ in range(rotations):
         r, _ = np.linalg.qr(rng.normal(size=(d, d)))
