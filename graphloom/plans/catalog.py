@@ -2,10 +2,620 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import dates, numeric, vectors
+from graphloom.functions import text as tx
+from graphloom.operators import build, export, history, pages, profile, reference, retrieval, similar, structure, temporal
+from graphloom.plans import datasets as ds
+from graphloom.plans.datasets import read
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+BUCKET = "case when {x} <= 0 then 'zero' when {x} < 1e3 then 'tiny' when {x} < 1e5 then 'small' when {x} < 1e6 then 'medium' when {x} < 1e8 then 'large' when {x} < 1e9 then 'very_large' else 'massive' end"
+ENT = "lower('entity:' || c_name)"
+#: The customer graph: records, edges, both directions.
+GRAPH = f"""rec as (select c_custkey as ord, {ENT} as id, c_name as label from customer),
+edges as (select {ENT} as src, lower('segment:' || c_mktsegment) as dst, 'HAS_SEGMENT' as etype from customer
+ union select {ENT}, lower('nation:' || n_name), 'HAS_NATION' from customer join nation on c_nationkey = n_nationkey
+ union select {ENT}, 'acctbal_range:' || {BUCKET.format(x="c_acctbal")}, 'IN_ACCTBAL_RANGE' from customer
+ union select {ENT}, lower('priority:' || o_orderpriority), 'HAS_PRIORITY' from customer join orders on o_custkey = c_custkey),
+adj as (select src, dst from edges union select dst, src from edges),
+f as (select src as id, dst as n from edges)"""
+BRANDS = f"""owned as (select distinct {ENT} as id, p_brand as value from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey where l_returnflag = 'R' and l_quantity >= 45)"""
+KNN = """sz as (select id, count(*) as d from f group by id),
+sh as (select a.id as a, b.id as b, count(*) as s from f a join f b on a.n = b.n where a.id <> b.id group by 1, 2),
+dist as (select x.id, y.id as peer, y.ord, 1 - coalesce(s, 0)::double / (dx.d + dy.d - coalesce(s, 0)) as distance from rec x join rec y on x.id <> y.id join sz dx on dx.id = x.id join sz dy on dy.id = y.id left join sh on a = x.id and b = y.id),
+knn as (select * from (select id, peer, row_number() over (partition by id order by distance, ord) as rank, distance from dist) where rank <= {k})"""
+SHARE = "pair as (select a.src as a, b.src as b, a.dst as n from edges a join edges b on a.dst = b.dst and a.src < b.src), deg as (select dst as n, count(*) as d from edges group by dst)"
+TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9À-ɏ]+'), lambda t: t <> '')"
+
+
+def q(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# functions
+
+
+@q(f"select {BUCKET.format(x='o_totalprice')} as bucket, count(*) as n from orders group by 1")
+def bucket_counts(spark, d):
+    return read(spark, d, "orders").groupBy(numeric.bucket(F.col("o_totalprice")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@q("select sum((lower(trim(v)) in ('', 'none', 'null', 'nan', 'n/a', 'na', 'unknown', '-') or v is null)::int)::bigint as n_null, count(*) as n from (select case c_custkey % 7 when 0 then ' N/A' when 1 then 'None ' when 2 then null when 3 then '-' else c_name end as v from customer)")
+def null_word_rates(spark, d):
+    v = F.when(F.col("c_custkey") % 7 == 0, " N/A").when(F.col("c_custkey") % 7 == 1, "None ").when(F.col("c_custkey") % 7 == 2, F.lit(None)).when(F.col("c_custkey") % 7 == 3, "-").otherwise(F.col("c_name"))
+    return read(spark, d, "customer").agg(F.sum(tx.is_null_word(v).cast("long")).alias("n_null"), F.count("*").alias("n"))
+
+
+@q("select c_custkey, case c_custkey % 5 when 0 then round(c_acctbal, 2) when 1 then (c_custkey % 90 + 1) * 1e6 when 2 then (c_custkey % 90 + 1) * 1e3 when 3 then null else (c_custkey % 90 + 1)::double end as x from customer")
+def numeric_parse(spark, d):
+    k = F.col("c_custkey")
+    small = (k % 90 + 1).cast("string")
+    v = F.when(k % 5 == 0, F.round("c_acctbal", 2).cast("string")).when(k % 5 == 1, F.concat(F.lit("$"), small, F.lit("M"))).when(k % 5 == 2, F.concat(small, F.lit(",000"))).when(k % 5 == 3, F.lit("5d")).otherwise(F.concat(small, F.lit("%")))
+    return read(spark, d, "customer").select("c_custkey", numeric.parse(v).alias("x"))
+
+
+@q("select o_orderkey, case when o_orderkey % 5 = 4 then null else strftime(o_orderdate, '%Y-%m-%d 00:00:00') end as ts from orders")
+def date_parse(spark, d):
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    v = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "MM/dd/yyyy")).when(k == 2, F.date_format(t, "yyyy/MM/dd")).when(k == 3, F.date_format(t, "MMMM d, yyyy")).otherwise(F.lit("soon"))
+    return read(spark, d, "orders").select("o_orderkey", F.date_format(dates.parse(v), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@q("select c_custkey, unnest([c_mktsegment, 'x' || c_nationkey]) as item from customer")
+def list_explode(spark, d):
+    cell = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ,, n/a,x"), F.col("c_nationkey").cast("string"))
+    return read(spark, d, "customer").select("c_custkey", F.explode(tx.items(cell)).alias("item"))
+
+
+@q("select o_orderkey, round(exp(-0.003 * greatest(floor(date_diff('second', o_orderdate, timestamp '2001-01-01') / 86400.0), 0)), 9) as w from orders")
+def decay_weights(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", F.round(dates.decay(F.col("o_orderdate"), F.lit("2001-01-01").cast("timestamp"), 0.003), 9).alias("w"))
+
+
+@q("select doc_id, 'text:' || substr(md5(substr(text, 1, 100)), 1, 8) as source, substr(sha256(text), 1, 32) as vid from documents")
+def text_ids(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.text_source_label(F.col("text")).alias("source"), tx.vector_id(F.col("text")).alias("vid"))
+
+
+@q("select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '…' else text end as short from documents")
+def shortened(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.shorten(F.col("text"), 200).alias("short"))
+
+
+@q("select event_id, cast(props->>'k' as bigint) as k from events")
+def json_part(spark, d):
+    reply = F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```"))
+    return read(spark, d, "events").select("event_id", F.from_json(tx.json_part(reply), "k bigint")["k"].alias("k"))
+
+
+@q("with d as (select doc_id, list_transform(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1), lambda x: lower(x)) as l from documents), e as (select doc_id, unnest(l) as phrase, generate_subscripts(l, 1) as i from d), g as (select doc_id, phrase, min(i) as i from e group by 1, 2) select doc_id, phrase from g qualify row_number() over (partition by doc_id order by i) <= 10")
+def concept_phrases(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.explode(tx.phrases(F.col("text"))).alias("phrase"))
+
+
+# profile
+
+
+def _profile_sql(table: str, columns: list[str]) -> str:
+    one = "select '{c}' as col_name, count(*) as n_rows, count({c}) as n_given, count(distinct {c}) as n_distinct, round(avg(length({c}::varchar)), 6) as avg_length from {t}"
+    return " union all ".join(one.format(c=c, t=table) for c in columns)
+
+
+@q(_profile_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]))
+def column_profile(spark, d):
+    m = profile.measures(read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return m.select(F.col("column").alias("col_name"), "n_rows", "n_given", "n_distinct", F.round("avg_length", 6).alias("avg_length"))
+
+
+@q("select * from (values ('c_custkey', 'id'), ('c_name', 'categorical'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'categorical'), ('c_nationkey', 'numeric')) t(col_name, role)")
+def column_roles(spark, d):
+    m = profile.measures(read(spark, d, "customer"))
+    return profile.roles(m, "c_custkey").filter(F.col("column").isin("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")).select(F.col("column").alias("col_name"), "role")
+
+
+@q("select 'c_custkey' as col_name, 2 as tier, round(count(distinct c_custkey) / count(*)::double, 6) as distinct_rate from customer union all select 'c_mktsegment', 3, round(count(distinct c_mktsegment) / count(*)::double, 6) from customer")
+def id_candidates(spark, d):
+    return profile.id_candidates(profile.measures(read(spark, d, "customer").select("c_custkey", "c_mktsegment"))).withColumnRenamed("column", "col_name")
+
+
+@q("with z as (select case when c_custkey % 3 = 0 then 0 else c_acctbal end as score, c_acctbal as acctbal from customer), l as (select 'score' as col_name, score as x from z union all select 'acctbal', acctbal from z) select col_name, count(x) as n_numbers, count(*) filter (x = 0) as n_zero, count(x) > 0 and count(*) filter (x = 0) >= 0.3 * count(x) as is_sentinel from l group by col_name")
+def sentinel_zero(spark, d):
+    c = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("score"), F.col("c_acctbal").alias("acctbal"))
+    return profile.sentinel_zero(c, ["score", "acctbal"]).withColumnRenamed("column", "col_name")
+
+
+@q("with m as (select 'always' as col_name, count(*) as n_rows, count(*) as n_given, 1::bigint as n_distinct from customer union all select 'c_custkey', count(*), count(*), count(distinct c_custkey) from customer) select col_name, case when n_distinct = 1 then '1 unique' else 'nearly unique' end as warning, n_rows, n_given, n_distinct from m")
+def column_warnings(spark, d):
+    return profile.warnings(read(spark, d, "customer").select("c_custkey", "c_mktsegment", F.lit("x").alias("always"))).withColumnRenamed("column", "col_name")
+
+
+@q("with l as (select 'c_mktsegment' as col_name, c_mktsegment as value from customer union all select 'c_nationkey', c_nationkey::varchar from customer), n as (select col_name, value, count(*) as n from l group by 1, 2) select *, row_number() over (partition by col_name order by n desc, value)::int as rank from n qualify rank <= 5")
+def top_values(spark, d):
+    return profile.top_values(read(spark, d, "customer").select("c_mktsegment", "c_nationkey")).withColumnRenamed("column", "col_name")
+
+
+# build
+
+
+@q(f"with {GRAPH} select src, dst, etype, case when etype = 'HAS_PRIORITY' then 0.9 else 1.0 end::double as confidence, 1.0::double as weight from edges")
+def graph_edges(spark, d):
+    return ds.customer_graph(spark, d).edges.select("src", "dst", "etype", "confidence", "weight")
+
+
+@q(f"with {GRAPH} select id, 'entity' as type, true as is_record from rec union select distinct dst, split_part(dst, ':', 1), false from edges")
+def graph_nodes(spark, d):
+    return ds.customer_graph(spark, d).nodes.select("id", "type", "is_record")
+
+
+@q(f"with {GRAPH} select dst, case when type like '%\\_range' escape '\\' then replace(type, '_range', '') else type end || '=' || label as name from (select distinct dst, split_part(dst, ':', 1) as type, case when etype = 'HAS_SEGMENT' then upper(split_part(dst, ':', 2)) else split_part(dst, ':', 2) end as label from edges where etype in ('HAS_SEGMENT', 'IN_ACCTBAL_RANGE'))")
+def node_labels(spark, d):
+    n = ds.customer_graph(spark, d).nodes.filter(F.col("type").isin("segment", "acctbal_range"))
+    return n.select(F.col("id").alias("dst"), tx.node_label(F.col("type"), F.col("label")).alias("name"))
+
+
+@q(f"with {GRAPH} select 'node' as what, split_part(id, ':', 1) as kind, count(*) as n from (select id from rec union select dst from edges) group by 2 union all select 'edge', etype, count(*) from edges group by 2")
+def graph_stats(spark, d):
+    return ds.customer_graph(spark, d).stats()
+
+
+@q("select 'entity:' || o_custkey as src, 'priority:' || lower(o_orderpriority) as dst, round(max(exp(-0.003 * greatest(floor(date_diff('second', o_orderdate, timestamp '2000-01-01') / 86400.0), 0))), 9) as weight, arg_min(o_orderstatus, o_orderkey) as outcome from orders where o_orderdate <= timestamp '2000-01-01' group by 1, 2")
+def edge_upsert(spark, d):
+    from dataclasses import replace
+
+    c = replace(ds.ORDERS, as_of="2000-01-01", decay=0.003, numeric=[])
+    return build.build(ds.order_events(spark, d), c).edges.select("src", "dst", F.round("weight", 9).alias("weight"), "outcome")
+
+
+@q("select o_orderkey from orders where o_orderdate <= timestamp '1998-06-30'")
+def as_of_filter(spark, d):
+    return build.as_of(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", F.lit("1998-06-30").cast("timestamp")).select("o_orderkey")
+
+
+@q("with r as (select distinct lower('entity:' || c.c_name) as src, lower('entity:' || t.c_name) as dst from customer c join customer t on c.c_custkey % 97 = t.c_custkey) select least(src, dst) as a, greatest(src, dst) as b, count(*)::bigint as n from (select distinct least(src, dst) as src, greatest(src, dst) as dst from r) group by 1, 2")
+def edges_relationship(spark, d):
+    e = ds.referral_graph(spark, d).edges.filter("etype = 'REFERRED_BY'")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+
+
+@q("select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'INDUSTRY' else c_mktsegment end as segment from customer")
+def canonical_merge(spark, d):
+    aliases = spark.createDataFrame([("building ", "INDUSTRY"), ("Machinery", "INDUSTRY")], "alias string, canonical string")
+    return tx.canonicalise(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), "segment", aliases)
+
+
+@q(f"with {GRAPH}, n as (select *, row_number() over () as r from edges) select src, dst, etype from edges union select 'entity:new one', 'segment:building', 'HAS_SEGMENT'")
+def incremental_add(spark, d):
+    g = ds.customer_graph(spark, d)
+    new = spark.createDataFrame([("new one", 1 << 40, "BUILDING", None, None, None)], "c_name string, c_custkey long, segment string, nation string, acctbal double, priority array<string>")
+    return build.add_records(g, new).edges.select("src", "dst", "etype")
+
+
+@q()
+def auto_aliases(spark, d):
+    c = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.initcap("c_mktsegment"), F.lit(" Inc."))).otherwise(F.col("c_mktsegment")).alias("segment"))
+    return build.auto_aliases(c, "segment")
+
+
+# structure
+
+
+@q(f"with {GRAPH}, t as (select src as id, dst from edges) select id, count(*) as degree, count(distinct dst) as unique_neighbors, 0::bigint as degree_entity, 0::bigint as degree_concept from t group by id")
+def degree_features(spark, d):
+    return structure.degrees(ds.customer_graph(spark, d)).select("id", "degree", "unique_neighbors", "degree_entity", "degree_concept")
+
+
+@q(f"with {GRAPH} select src as id, count(*) filter (etype = 'HAS_SEGMENT') as HAS_SEGMENT_degree, count(*) filter (etype = 'HAS_NATION') as HAS_NATION_degree, nullif(count(*) filter (etype = 'HAS_PRIORITY'), 0) as HAS_PRIORITY_degree from edges group by src")
+def degree_by_type(spark, d):
+    return structure.degree_by_type(ds.customer_graph(spark, d), ["HAS_SEGMENT", "HAS_NATION", "HAS_PRIORITY"])
+
+
+@q("with e as (select lower('entity:' || c_name) as a, lower('segment:' || c_mktsegment) as b from customer union select lower('entity:' || c.c_name), lower('entity:' || t.c_name) from customer c join customer t on c.c_custkey % 97 = t.c_custkey where c.c_custkey <> t.c_custkey), adj as (select a, b from e union select b, a from e), k as (select a, count(*) as k from adj group by a), l as (select x.a as id, count(*) as c from adj x join adj y on x.a = y.a and x.b < y.b join adj z on z.a = x.b and z.b = y.b group by 1) select lower('entity:' || c_name) as id, round(coalesce(c, 0) / greatest(k * (k - 1) / 2, 1), 6) as clustering_coeff from customer left join k on k.a = lower('entity:' || c_name) left join l on l.id = k.a")
+def clustering(spark, d):
+    return structure.clustering(ds.referral_graph(spark, d)).select("id", F.round("clustering_coeff", 6).alias("clustering_coeff"))
+
+
+@q(f"with recursive {GRAPH}, dg as (select src, count(*) as d from adj group by src), links as (select adj.src, adj.dst, d from adj join dg on adj.src = dg.src), n as (select count(*)::double as n from dg), pr(step, id, pr) as (select 0, src, 1 / n from dg, n union all select p.step + 1, l.dst, 0.15::double / any_value(n.n) + 0.85::double * sum(p.pr / l.d) from pr p join links l on l.src = p.id, n where p.step < 20 group by p.step, l.dst) select id, round(pr, 9) as pagerank from pr where step = 20")
+def pagerank(spark, d):
+    return structure.pagerank(ds.customer_graph(spark, d)).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
+def _projected(spark, d, method):
+    return structure.projection(ds.customer_graph(spark, d), method).groupBy("a").agg(F.count("*").alias("pairs"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@q(f"with {GRAPH}, {SHARE}, w as (select a, b, sum(1 / ln(d)) as weight from pair join deg using (n) group by a, b) select a, count(*) as pairs, round(sum(weight), 4) as weight from w group by a")
+def projection_adamic_adar(spark, d):
+    return _projected(spark, d, "adamic_adar")
+
+
+@q(f"with {GRAPH}, {SHARE}, s as (select a, b, count(*) as s from pair group by a, b), z as (select src, count(*) as d from edges group by src), w as (select a, b, s / (x.d + y.d - s)::double as weight from s join z x on x.src = a join z y on y.src = b) select a, count(*) as pairs, round(sum(weight), 4) as weight from w group by a")
+def projection_jaccard(spark, d):
+    return _projected(spark, d, "jaccard")
+
+
+@q(f"with {GRAPH}, {SHARE}, s as (select a, b, count(*)::double as weight from pair group by a, b) select a, count(*) as pairs, round(sum(weight), 4) as weight from s group by a")
+def projection_shared(spark, d):
+    return _projected(spark, d, "shared_count")
+
+
+_REF = "r as (select distinct lower('entity:' || c.c_name) as a, lower('entity:' || t.c_name) as b from customer c join customer t on c.c_custkey % 97 = t.c_custkey where c.c_custkey <> t.c_custkey), adj as (select a, b from r union select b, a from r)"
+
+
+@q(f"with recursive {_REF}, lp(step, id, label) as (select distinct 0, a, a from adj union all select step, id, label from (select l.step + 1 as step, adj.a as id, l.label, count(*) as n, row_number() over (partition by l.step, adj.a order by count(*) desc, l.label) as r from lp l join adj on adj.b = l.id where l.step < 5 group by l.step, adj.a, l.label) where r = 1) select id, label from lp where step = 5")
+def label_propagation(spark, d):
+    e = ds.referral_graph(spark, d).edges.filter("etype = 'REFERRED_BY' and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return structure.label_propagation(e)
+
+
+@q()
+def communities(spark, d):
+    return structure.communities(ds.customer_graph(spark, d))
+
+
+@q()
+def walk_embeddings(spark, d):
+    return structure.walk_embeddings(ds.customer_graph(spark, d)).select("id", F.round("norm", 6).alias("norm"))
+
+
+@q(f"with {GRAPH}, dg as (select src, count(*) as d from adj group by src), p as (select a.id as a, b.id as b from rec a join rec b on b.ord = a.ord + 1), s as (select a, b, count(*) as shared, sum(1 / ln(d)) as aa from p join adj x on x.src = a join adj y on y.src = b and y.dst = x.dst join dg on dg.src = x.dst group by a, b) select a, b, coalesce(shared, 0) as shared, round(coalesce(shared, 0) / (da.d + db.d - coalesce(shared, 0))::double, 6) as jaccard, round(coalesce(aa, 0), 6) as adamic_adar from p left join s using (a, b) join dg da on da.src = a join dg db on db.src = b")
+def pairwise_features(spark, d):
+    g = ds.customer_graph(spark, d)
+    n = g.nodes.filter("is_record").select("id", "ord")
+    pairs = n.select(F.col("id").alias("a"), (F.col("ord") + 1).alias("o")).join(n.select(F.col("id").alias("b"), F.col("ord").alias("o")), "o").select("a", "b")
+    return structure.pairwise(g, pairs).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("adamic_adar", 6).alias("adamic_adar"))
+
+
+# similarity
+
+
+@q(f"with {GRAPH}, {KNN.format(k=5)} select id, peer, rank::int as rank, round(distance, 6) as distance from knn")
+def knn_graph(spark, d):
+    return similar.knn(ds.customer_graph(spark, d), 5).select("id", "peer", "rank", F.round("distance", 6).alias("distance"))
+
+
+_VEC = "v as (select vec_id, embedding::double[] as e from embeddings)"
+
+
+@q(f"with {_VEC}, s as (select q.vec_id as query_id, v.vec_id, 1 - list_cosine_similarity(q.e, v.e) as distance from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0) select query_id, vec_id, round(distance, 6) as distance, row_number() over (partition by query_id order by round(distance, 12), vec_id)::int as rank from s qualify rank <= 5")
+def knn_embedding(spark, d):
+    v = read(spark, d, "embeddings")
+    return similar.embedding_neighbours(v.filter("vec_id % 50 = 0"), v, 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@q(f"with {_VEC} select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 4) as weight from v a join v b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.4")
+def similarity_edges(spark, d):
+    return similar.similar_pairs(read(spark, d, "embeddings"), 0.4).select("a", "b", F.round("weight", 4).alias("weight"))
+
+
+_HOP = f"""with {GRAPH}, dg as (select src as n, count(*) as d from adj group by src), s0 as (select id from rec where ord % 100 = 1),
+h as (select a.src as source, b.src as target, sum(0.5::double * {{w}} * case when d <= 1 then 1 else 1 / ln(d + 1) end) as score from edges a join s0 on s0.id = a.src join edges b on a.dst = b.dst and a.src <> b.src join dg on dg.n = a.dst group by 1, 2)
+select source, target, round(score, 6) as score, rank::int as rank from (select source, target, score, row_number() over (partition by source order by round(score, 9) desc, ord) as rank from h join rec on rec.id = target) where rank <= 5"""
+
+
+@q(_HOP.format(w="1"))
+def find_similar(spark, d):
+    g = ds.customer_graph(spark, d)
+    return similar.find_similar(g, g.nodes.filter("is_record and ord % 100 = 1").select("id")).select("source", "target", F.round("score", 6).alias("score"), "rank")
+
+
+@q(_HOP.format(w="case b.etype when 'HAS_NATION' then 3 else 1 end"))
+def find_similar_weighted(spark, d):
+    g = ds.customer_graph(spark, d)
+    return similar.find_similar(g, g.nodes.filter("is_record and ord % 100 = 1").select("id"), type_weights={"HAS_NATION": 3.0}).select("source", "target", F.round("score", 6).alias("score"), "rank")
+
+
+@q(f"with {GRAPH}, s as (select src, count(*)::double as score from edges where dst in ('segment:building', 'acctbal_range:small', 'priority:1-urgent') group by src) select src as target, score, row_number() over (order by score desc, ord)::int as rank from s join rec on rec.id = src qualify rank <= 5")
+def match_attributes(spark, d):
+    return similar.match(ds.customer_graph(spark, d), {"segment": "BUILDING", "acctbal_range": "small", "priority": "1-URGENT"})
+
+
+@q("with recursive e as (select lower('entity:' || c_name) as a, lower('segment:' || c_mktsegment) as b from customer union select lower('entity:' || c.c_name), lower('entity:' || t.c_name) from customer c join customer t on c.c_custkey % 97 = t.c_custkey), adj as (select a, b from e union select b, a from e), w(id, hop) as (select 'segment:building', 0 union select adj.b, w.hop + 1 from w join adj on adj.a = w.id where w.hop < 2) select id, min(hop)::int as hop from w group by id")
+def neighborhood(spark, d):
+    return similar.neighborhood(ds.referral_graph(spark, d), "segment:building", 2)
+
+
+def _peers(spark, d, k):
+    return similar.knn(ds.customer_graph(spark, d), k), ds.brands(spark, d)
+
+
+@q(f"with {GRAPH}, {KNN.format(k=3)}, {BRANDS}, v as (select knn.id, value, count(*) as votes from knn join owned on owned.id = peer group by 1, 2) select rec.id, c.value, round(coalesce(votes, 0) / 3::double, 6) as rate, coalesce(votes, 0) as votes from rec cross join (select distinct value from owned) c left join v on v.id = rec.id and v.value = c.value")
+def knn_rates(spark, d):
+    found, owned = _peers(spark, d, 3)
+    return similar.rates(found, owned).select("id", "value", F.round("rate", 6).alias("rate"), "votes")
+
+
+@q(f"with {GRAPH}, {KNN.format(k=3)}, {BRANDS}, v as (select knn.id, value, count(*) as votes from knn join owned on owned.id = peer group by 1, 2) select v.id, v.value, round(votes / 3::double, 4) as rate, row_number() over (partition by v.id order by round(votes / 3::double, 4) desc, v.value)::int as rank, votes || ' of 3 peers have ' || v.value as reason from v where votes / 3::double >= 0.5 and not exists (select 1 from owned o where o.id = v.id and o.value = v.value)")
+def recommend(spark, d):
+    found, owned = _peers(spark, d, 3)
+    return similar.recommend(found, owned).withColumn("rate", F.round("rate", 4))
+
+
+_CO = f"with {BRANDS}, n as (select count(distinct id) as n from owned), c as (select value, count(*) as c from owned group by value)"
+
+
+@q(f"{_CO}, p as (select x.value as a, y.value as b, count(*) as support from owned x join owned y on x.id = y.id and x.value <> y.value group by 1, 2 having count(*) >= 2) select a, b, support, round(support / ca.c::double, 6) as p_ba, round(support * n.n::double / (ca.c * cb.c), 6) as lift from p join c ca on ca.value = a join c cb on cb.value = b, n")
+def co_occurrence(spark, d):
+    r = similar.co_occurrence(ds.brands(spark, d), 2)
+    return r.withColumn("p_ba", F.round("p_ba", 6)).withColumn("lift", F.round("lift", 6))
+
+
+@q(f"{_CO}, won as (select {ENT} as id, c_acctbal > 5000 as won from customer), p as (select x.value as a, y.value as b, count(*) as support, count(*) filter (won) as co_won, avg(won::int::double) as co_rate_won from owned x join owned y on x.id = y.id and x.value <> y.value join won on won.id = x.id group by 1, 2 having count(*) >= 2) select a, b, support, co_won, round(co_rate_won, 6) as co_rate_won from p")
+def co_occurrence_outcome(spark, d):
+    won = read(spark, d, "customer").select(F.lower(F.concat(F.lit("entity:"), F.col("c_name"))).alias("id"), (F.col("c_acctbal") > 5000).alias("won"))
+    return similar.co_occurrence(ds.brands(spark, d), 2, won).select("a", "b", "support", "co_won", F.round("co_rate_won", 6).alias("co_rate_won"))
+
+
+_TOP = ["Brand#11", "Brand#12"]
+
+
+@q(f"with {GRAPH}, {KNN.format(k=5)}, {BRANDS}, v as (select knn.id, avg(distance) as avg_distance, min(distance) as min_distance, " + ", ".join(f"avg((exists (select 1 from owned o where o.id = peer and o.value = '{b}'))::int::double) as r{i}" for i, b in enumerate(_TOP)) + f" from knn group by knn.id), e as (select src as id, count(*) as degree, count(distinct dst) as unique_neighbors, nullif(count(*) filter (etype = 'HAS_PRIORITY'), 0) as HAS_PRIORITY_degree from edges group by src) select id, degree, unique_neighbors, HAS_PRIORITY_degree, " + ", ".join(f"round(r{i}, 6) as \"rate_{b}\"" for i, b in enumerate(_TOP)) + ", round(avg_distance, 6) as avg_distance, round(min_distance, 6) as min_distance from e join v using (id)")
+def ml_matrix(spark, d):
+    g = ds.customer_graph(spark, d)
+    found, owned = similar.knn(g, 5), ds.brands(spark, d)
+    m = similar.ml_matrix(g, found, owned, ["HAS_PRIORITY"], _TOP)
+    return m.select("id", "degree", "unique_neighbors", "HAS_PRIORITY_degree", *(F.round(F.coalesce(F.col(f"`rate_{b}`"), F.lit(0.0)), 6).alias(f"rate_{b}") for b in _TOP), F.round("avg_distance", 6).alias("avg_distance"), F.round("min_distance", 6).alias("min_distance"))
+
+
+@q(f"with {BRANDS} select {ENT} as id, " + ", ".join(f"(exists (select 1 from owned o where o.id = {ENT} and o.value = '{b}'))::int as \"y_{b}\"" for b in _TOP) + " from customer")
+def ml_labels(spark, d):
+    return similar.ml_labels(ds.customer_graph(spark, d).nodes.filter("is_record"), ds.brands(spark, d), _TOP)
+
+
+@q()
+def explain(spark, d):
+    found, owned = _peers(spark, d, 5)
+    e = similar.explain(ds.customer_graph(spark, d), found, owned)
+    return e.select("id", F.to_json("peers").alias("peers"), F.to_json("recommended").alias("recommended"))
+
+
+@q()
+def question_context(spark, d):
+    g = ds.customer_graph(spark, d)
+    c = similar.context(g, structure.pagerank(g))
+    return c.select("id", "label", F.array_join("connections", ", ").alias("connections"))
+
+
+@q(f"with {GRAPH}, dg as (select src as id, count(distinct dst) as degree from edges group by src) select id, degree, row_number() over (order by degree desc, ord)::int as rank from dg join rec using (id) qualify rank <= 10")
+def export_selection(spark, d):
+    return export.top_degree(ds.customer_graph(spark, d), 10)
+
+
+# reference groups: customers of the building segment
+
+_RG = f"with {GRAPH}, ref as (select {ENT} as id from customer where c_mktsegment ilike '%build%' and c_acctbal > 9000), un as (select distinct n from f join ref using (id))"
+
+
+def _ref(spark, d):
+    g = ds.customer_graph(spark, d)
+    rows = read(spark, d, "customer").filter("c_acctbal > 9000").select(F.lower(F.concat(F.lit("entity:"), F.col("c_name"))).alias("id"), "c_mktsegment")
+    return g, reference.group(g, rows, {"c_mktsegment": "build"})
+
+
+@q(f"{_RG} select rec.id, case when rec.id in (select id from ref) then 0 else coalesce(c, 0) end::double as value from rec left join (select id, count(*) as c from f join un using (n) group by id) x on x.id = rec.id")
+def ref_shared_count(spark, d):
+    return reference.shared_count(*_ref(spark, d))
+
+
+@q(f"{_RG} select f.id, round(count(un.n) / (count(*) + (select count(*) from un) - count(un.n))::double, 6) as value from f left join un on un.n = f.n group by f.id")
+def ref_overlap(spark, d):
+    return reference.overlap_rate(*_ref(spark, d)).select("id", F.round("value", 6).alias("value"))
+
+
+@q(f"with {GRAPH}, {KNN.format(k=5)}, {BRANDS} select knn.id, round(avg((exists (select 1 from owned o where o.id = peer and o.value = 'Brand#11'))::int::double), 6) as value from knn group by knn.id")
+def ref_adoption(spark, d):
+    g = ds.customer_graph(spark, d)
+    return reference.adoption_rate(g, similar.knn(g, 5), ds.brands(spark, d), "Brand#11").select("id", F.round("value", 6).alias("value"))
+
+
+@q(f"{_RG.replace('with ', 'with recursive ', 1)}, w(id, hop) as (select id, 0 from ref union select adj.dst, hop + 1 from w join adj on adj.src = w.id where hop < 4) select rec.id, coalesce(min(hop), 10)::double as value from rec left join w on w.id = rec.id group by rec.id")
+def ref_distance(spark, d):
+    return reference.distance_to_nearest(*_ref(spark, d))
+
+
+@q(f"{_RG} select f.id, count(un.n)::double as value from f left join un on un.n = f.n group by f.id")
+def ref_subgraph_degree(spark, d):
+    return reference.subgraph_degree(*_ref(spark, d))
+
+
+@q(f"{_RG}, r as (select (select count(*) from f join ref using (id) where n = 'priority:1-urgent') / (select count(*) from ref)::double as r) select f.id, round(any_value(r.r) * (0.5 + 0.5 * count(un.n) / (count(*) + (select count(*) from un) - count(un.n))::double), 4) as value from f left join un on un.n = f.n, r group by f.id")
+def ref_rate(spark, d):
+    g, ref = _ref(spark, d)
+    return reference.reference_rate(g, ref, "priority:1-urgent")
+
+
+@q(f"with {GRAPH}, h as (select id from f where n = 'segment:building'), c as (select n, count(*) as c from f group by n), b as (select n, count(*) as b from f join h using (id) group by n), l as (select n, b * (select count(*) from rec)::double / (c * (select count(*) from h)) as lift from b join c using (n) where n <> 'segment:building') select f.id, round(coalesce(max(lift), 0), 4) as value from f left join l using (n) group by f.id")
+def ref_lift(spark, d):
+    return reference.co_occurrence_lift(ds.customer_graph(spark, d), "segment:building")
+
+
+# time and scoring
+
+_DATES = ["1997-01-01", "1999-01-01", "2001-01-01"]
+_SNAP = "s as (select unnest([" + ", ".join(f"timestamp '{x}'" for x in _DATES) + "]) as snapshot)"
+
+
+@q(f"with {_SNAP}, k as (select snapshot, 'entity:' || o_custkey as id, o_orderpriority as p, {BUCKET.format(x='o_totalprice')} as b from orders join s on o_orderdate <= snapshot) select strftime(snapshot, '%Y-%m-%d') as snapshot, id, count(distinct p) + count(distinct b) as degree, count(*) as n_events from k group by 1, 2")
+def temporal_features(spark, d):
+    return temporal.features(ds.order_events(spark, d), _DATES, ds.ORDERS).withColumn("snapshot", F.date_format("snapshot", "yyyy-MM-dd"))
+
+
+@q(f"with {_SNAP} select strftime(snapshot, '%Y-%m-%d') as snapshot, 'entity:' || o_custkey as id, max((o_orderstatus = 'F')::int) as label from orders join s on o_orderdate > snapshot and o_orderdate <= snapshot + interval 180 day group by 1, 2")
+def temporal_labels(spark, d):
+    return temporal.labels(ds.order_events(spark, d), _DATES, ds.ORDERS, "status", "F").withColumn("snapshot", F.date_format("snapshot", "yyyy-MM-dd"))
+
+
+def _frozen(spark, d):
+    g = ds.customer_graph(spark, d)
+    old = build.build(ds.customers(spark, d).filter("c_custkey % 10 <> 0"), ds.CUSTOMER)
+    del g
+    owned = ds.brands(spark, d).join(old.nodes.filter("is_record").select("id"), "id", "left_semi")
+    f = temporal.Frozen("", old, ["HAS_NATION", "HAS_PRIORITY", "HAS_SEGMENT", "IN_ACCTBAL_RANGE"], _TOP, 5)
+    return f, ds.customers(spark, d).filter("c_custkey % 10 = 0"), owned
+
+
+_SCORE = f"""with {GRAPH}, {BRANDS}, nw as (select id from rec where ord % 10 = 0), fo as (select f.* from f join rec using (id) where ord % 10 <> 0), fn as (select f.* from f join nw using (id) where n in (select n from fo)),
+na as (select id, count(*) as d from fn group by id), nb as (select id, count(*) as d from fo group by id),
+ps as (select id, peer, rank, distance from (select x.id, y.id as peer, 1 - count(*)::double / (any_value(na.d) + any_value(nb.d) - count(*)) as distance, row_number() over (partition by x.id order by 1 - count(*)::double / (any_value(na.d) + any_value(nb.d) - count(*)), any_value(rec.ord)) as rank from fn x join fo y on x.n = y.n join na on na.id = x.id join nb on nb.id = y.id join rec on rec.id = y.id group by x.id, y.id) where rank <= 5)"""
+
+
+@q(f"{_SCORE} select id, peer, rank::int as rank, round(distance, 6) as distance from ps")
+def score_peers(spark, d):
+    f, new, _ = _frozen(spark, d)
+    return temporal.peers(f, new).withColumn("distance", F.round("distance", 6))
+
+
+@q(f"{_SCORE}, pr as (select id, avg(distance) as avg_distance, min(distance) as min_distance, " + ", ".join(f"avg((exists (select 1 from owned o where o.id = peer and o.value = '{b}'))::int::double) as r{i}" for i, b in enumerate(_TOP)) + " from ps group by id) select nw.id, coalesce(d, 0) as degree, round(coalesce(avg_distance, 0), 6) as avg_distance, round(coalesce(min_distance, 0), 6) as min_distance, " + ", ".join(f"round(coalesce(r{i}, 0), 6) as \"rate_{b}\"" for i, b in enumerate(_TOP)) + " from nw left join na using (id) left join pr using (id)")
+def score_batch(spark, d):
+    f, new, owned = _frozen(spark, d)
+    s = temporal.score_batch(f, new, owned)
+    return s.select("id", "degree", *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("avg_distance", "min_distance", *(f"rate_{b}" for b in _TOP))))
+
+
+# retrieval and pages
+
+
+@q()
+def chunks(spark, d):
+    return retrieval.chunks(read(spark, d, "documents"))
+
+
+@q(f"with {_VEC}, s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0) select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by round(1 - score, 12), vec_id)::int as rank from s qualify rank <= 3")
+def vector_search(spark, d):
+    v = read(spark, d, "embeddings")
+    return retrieval.vector_search(v.filter("vec_id % 50 = 0"), v, 3).withColumn("score", F.round("score", 6))
+
+
+@q("select a.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on b.vec_id = 0")
+def cosine_scores(spark, d):
+    v = read(spark, d, "embeddings")
+    one = v.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1).first()["q"]
+    return v.select(F.col("vec_id").alias("id"), F.round(vectors.cosine(F.col("embedding"), F.array(*map(F.lit, one))), 6).alias("score"))
+
+
+_BM = f"""t as (select doc_id, {TOKENS.format(x='text')} as l from documents), dl as (select doc_id, len(l) as dl from t), st as (select count(*) as n, avg(dl) as av from dl),
+qt as (select distinct item_id as query_id, unnest({TOKENS.format(x='text')}) as term from benchmark), w as (select doc_id, unnest(l) as term from t), tf as (select doc_id, term, count(*) as tf from w where term in (select term from qt) group by 1, 2), df as (select term, count(*) as df from tf group by term),
+bm as (select query_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) as score from qt join df using (term) join tf using (term) join dl on dl.doc_id = tf.doc_id, st group by 1, 2),
+bmr as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm)"""
+
+
+@q(f"with {_BM} select query_id, doc_id, round(score, 5) as score, rank::int as rank from bmr where rank <= 10")
+def bm25_search(spark, d):
+    q_ = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25(q_, read(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 5))
+
+
+@q(f"with {_BM}, qs as (select distinct query_id, list_sort(list(term)) as l from qt group by query_id), ov as (select query_id, doc_id, count(*) as s from qt join tf using (term) group by 1, 2), ovr as (select query_id, doc_id, row_number() over (partition by query_id order by s desc, doc_id) as rank from ov), b as (select query_id, doc_id, rank from bmr where rank <= 10 union all select query_id, doc_id, rank from ovr where rank <= 10), s as (select query_id, doc_id, sum(1.0::double / (60 + rank)) as score from b group by 1, 2) select query_id, doc_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 12) desc, doc_id)::int as rank from s qualify rank <= 10")
+def hybrid_rrf(spark, d):
+    from pyspark.sql import Window
+
+    q_ = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    terms = q_.select("query_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"))
+    s = terms.join(words, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("s"))
+    over = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id"))).filter("rank <= 10")
+    return retrieval.fuse(retrieval.bm25(q_, docs), over).withColumn("score", F.round("score", 9))
+
+
+@q("with c as (select conv_id as doc_id, turn::int as chunk_index from conversations), f as (select 1::bigint as query_id, doc_id, chunk_index from c where chunk_index = 1) select distinct query_id, f.doc_id, (f.chunk_index + o)::int as chunk_index, o::int as offset from f, (select unnest([-1, 0, 1]) as o) join c on c.doc_id = f.doc_id and c.chunk_index = f.chunk_index + o")
+def context_expansion(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"))
+    return retrieval.expand(c.filter("chunk_index = 1").select(F.lit(1).cast("long").alias("query_id"), "doc_id", "chunk_index"), c)
+
+
+@q("select vec_id as id, case when vec_id % 5 = 0 then 'new' else 'old' end as state from embeddings union all select max(vec_id) + 5 - max(vec_id) % 5, 'new' from embeddings")
+def vector_upsert(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    new = v.filter("id % 5 = 0").unionByName(v.agg((F.max("id") + 5 - F.max("id") % 5).alias("id")))
+    return retrieval.upsert(v.withColumn("state", F.lit("old")), new.withColumn("state", F.lit("new")))
+
+
+@q("with l as (select page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) as h from pages) select page_id, url, (generate_subscripts(h, 1) - 1)::int as position, unnest(h) as href from l")
+def page_links(spark, d):
+    return pages.links(read(spark, d, "pages"))
+
+
+@q("with l as (select unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select href, count(*) as n from l group by href")
+def link_counts(spark, d):
+    return pages.links(read(spark, d, "pages")).groupBy("href").agg(F.count("*").alias("n"))
+
+
+@q()
+def page_text(spark, d):
+    return pages.texts(read(spark, d, "pages"))
+
+
+@q()
+def page_elements(spark, d):
+    return pages.elements(read(spark, d, "pages"), ["h1", "p", "div a", "title"])
+
+
+# history and logs
+
+
+@q("select turn::int as message_index, role from conversations where conv_id = 1")
+def session_messages(spark, d):
+    m = history.get_messages(ds.messages(spark, d), 1)
+    return m.select("message_index", F.get_json_object("message_data", "$.role").alias("role"))
+
+
+@q("select conv_id as session_id, count(*) as message_count, strftime(make_timestamp((1700000000 + max(conv_id * 3600 + turn * 60)) * 1000000), '%Y-%m-%d %H:%M:%S') as last_updated from conversations group by 1")
+def session_list(spark, d):
+    return history.list_sessions(ds.messages(spark, d)).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"))
+
+
+@q("select conv_id as session_id, count(*) as n from conversations where conv_id <> 2 group by 1 union all select 2, 1")
+def session_save(spark, d):
+    m = ds.messages(spark, d)
+    new = m.filter("session_id = 2").limit(1).select(F.lit(2).cast("long").alias("session_id"), F.lit(0).alias("message_index"), F.lit("{}").alias("message_data"), "created_at")
+    return history.save_messages(m, new).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@q("select conv_id as session_id, count(*) as n from conversations where conv_id <> 3 group by 1")
+def session_delete(spark, d):
+    return history.delete_session(ds.messages(spark, d), 3).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@q("select event_id, event_type, row_number() over (order by event_id desc)::int as row from events where event_type = 'click' qualify row > 20 and row <= 40")
+def log_filter_page(spark, d):
+    return history.get_logs(read(spark, d, "events"), 20, 2, "event_id", event_type="click").select("event_id", "event_type", "row")
+
+
+@q("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as kind, count(*) as requests, round(sum(value), 4) as total from events group by 1, 2")
+def log_analytics(spark, d):
+    a = history.analytics(read(spark, d, "events"))
+    return a.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "requests", F.round("total", 4).alias("total"))
+
+
+@q("select event_type as kind, count(*) as requests, round(sum(value), 3) as total from events group by rollup (event_type)")
+def log_totals(spark, d):
+    return history.totals(read(spark, d, "events")).withColumn("total", F.round("total", 3))
+
+
+@q("select event_id, case when event_id % 10 = 0 then 1.0 end::double as score, case when event_id % 10 = 0 then 'good' end as feedback from events")
+def log_feedback(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id"))
+    f = e.filter("event_id % 10 = 0").select("event_id", F.lit(1.0).alias("score"), F.lit("good").alias("feedback"))
+    return history.add_feedback(e, f, "event_id")
