@@ -31,7 +31,7 @@ def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/table"
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
