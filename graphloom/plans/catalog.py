@@ -619,3 +619,52 @@ def log_feedback(spark, d):
     e = read(spark, d, "events").select(F.col("event_id"))
     f = e.filter("event_id % 10 = 0").select("event_id", F.lit(1.0).alias("score"), F.lit("good").alias("feedback"))
     return history.add_feedback(e, f, "event_id")
+
+
+# further operators
+
+
+@q("select doc_id, case when length(text) > 500 then substr(text, 1, 500) end as text_summary from documents")
+def text_summaries(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.when(F.length("text") > 500, F.substring("text", 1, 500)).alias("text_summary"))
+
+
+@q("select event_id, event_type, value from events where event_id = 7")
+def log_lookup(spark, d):
+    return history.get_log(read(spark, d, "events"), 7, "event_id").select("event_id", "event_type", "value")
+
+
+@q(f"with {GRAPH}, {KNN.format(k=5)} select id, round(avg(distance), 6) as avg_distance, round(min(distance), 6) as min_distance, round(max(distance), 6) as max_distance from knn group by id")
+def knn_distances(spark, d):
+    s = similar.knn_summary(similar.knn(ds.customer_graph(spark, d), 5))
+    return s.select("id", *(F.round(c, 6).alias(c) for c in ("avg_distance", "min_distance", "max_distance")))
+
+
+@q(f"with {GRAPH}, {KNN.format(k=3)}, {BRANDS}, v as (select knn.id, value, count(*) as votes from knn join owned on owned.id = peer group by 1, 2), big as (select value from owned group by value having count(*) > 0.065 * (select count(*) from rec)) select v.id, v.value, round(votes / 3::double, 4) as rate from v where votes / 3::double >= 0.3 and value not in (select value from big) and not exists (select 1 from owned o where o.id = v.id and o.value = v.value)")
+def recommend_exclude_dominant(spark, d):
+    found, owned = _peers(spark, d, 3)
+    return similar.recommend(found, owned, 0.3, dominant=0.065).select("id", "value", F.round("rate", 4).alias("rate"))
+
+
+@q(f"with {_VEC}, p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.e, b.e) as w from v a join v b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.4), t as (select a as id, w from p union all select b, w from p) select vec_id as id, count(w) as similar_count, round(coalesce(avg(w), 0), 5) as avg_similarity, round(coalesce(max(w), 0), 5) as max_similarity from v left join t on t.id = vec_id group by vec_id")
+def similar_counts(spark, d):
+    v = read(spark, d, "embeddings")
+    pairs = similar.similar_pairs(v, 0.4)
+    both = pairs.select(F.col("a").alias("id"), "weight").unionByName(pairs.select(F.col("b").alias("id"), "weight"))
+    out = v.select(F.col("vec_id").alias("id")).join(both, "id", "left").groupBy("id")
+    return out.agg(F.count("weight").alias("similar_count"), F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 5).alias("avg_similarity"), F.round(F.coalesce(F.max("weight"), F.lit(0.0)), 5).alias("max_similarity"))
+
+
+@q("with q as (select item_id as query_id, text as query from benchmark), t as (select query_id, query, doc_id, text from q join documents on doc_id % 40 = query_id), s as (select query_id, doc_id, len(list_intersect(list_distinct(" + TOKENS.format(x="query") + "), " + TOKENS.format(x="text") + "))::double / greatest(len(list_distinct(" + TOKENS.format(x="query") + ")), 1) as rerank_score from t) select query_id, doc_id, round(rerank_score, 6) as rerank_score, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as new_rank from s qualify new_rank <= 5")
+def rerank(spark, d):
+    q_ = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("query_id"))
+    found = docs.join(q_, "query_id").withColumn("rank", F.col("doc_id"))
+    return retrieval.rerank(found).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
+
+
+@q("with d as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1), lambda x: lower(x))) as l, list_transform(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1), lambda x: lower(x)) as o from documents), e as (select doc_id, unnest(o) as phrase, generate_subscripts(o, 1) as i from d), g as (select doc_id, phrase, min(i) as i from e group by 1, 2 qualify row_number() over (partition by doc_id order by min(i)) <= 10) select 'entity:' || doc_id as src, count(distinct regexp_replace(phrase, '^\\s+|\\s+$', '')) as mentions from g group by 1")
+def concept_edges(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("doc_id").alias("ord"), "text")
+    g = build.build(docs, build.Config("doc", "ord", text=["text"]))
+    return g.edges.filter("etype = 'MENTIONS'").groupBy("src").agg(F.count("*").alias("mentions"))
