@@ -64,7 +64,7 @@ def _word_counts(rows: DataFrame, buckets: int) -> DataFrame:
             )
 
         for b, buf, off in tc.slices(_runs(batches), limit=SLICE):
-            new = (tc.column(b, "_file")[0].as_py(), int(tc.column(b, "_row")[0].as_py()) // CHUNK)
+            new = (tc.column(b, "__source_file")[0].as_py(), int(tc.column(b, "__source_row")[0].as_py()) // CHUNK)
             if new != key:
                 if hs:
                     yield emit()
@@ -213,7 +213,7 @@ def _learn(material: DataFrame, rounds: int, start_windows: int) -> tuple[at.Mod
 
 def score(docs: DataFrame, path: str, folds: int = FOLDS, share: int = SHARE, rounds: int = 2, start_windows: int = 8192, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    base = located(docs).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "_file", "_row")
+    base = located(docs).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "__source_file", "__source_row")
     rows = base.withColumn("fold", remainder("doc_id", folds))
     folder, total, distinct = _count_words(rows, input_bytes(docs))
     learned = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "fold")
@@ -225,7 +225,7 @@ def score(docs: DataFrame, path: str, folds: int = FOLDS, share: int = SHARE, ro
         enc, key, words, counts = bpe.encoder(path), None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         down = np.log10(total + 0.1 * (distinct + 1))
         for b, buf, off in tc.slices(_runs(batches), limit=2 << 20):
-            new = (tc.column(b, "_file")[0].as_py(), int(tc.column(b, "_row")[0].as_py()) // CHUNK)
+            new = (tc.column(b, "__source_file")[0].as_py(), int(tc.column(b, "__source_row")[0].as_py()) // CHUNK)
             if new != key:
                 key, raw = new, read_bytes(_name(folder, *new))
                 n = int.from_bytes(raw[:8], "little")

@@ -43,10 +43,10 @@ LAST = np.iinfo(np.int64).max
 
 def located(docs: DataFrame) -> DataFrame:
     """docs with the file and the row of each document; what does not come straight from files is written first."""
-    if {"_file", "_row"} <= set(docs.columns):
+    if {"__source_file", "__source_row"} <= set(docs.columns):
         return docs
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select("*", F.col("_metadata.file_path").alias("__source_file"), F.col("_metadata.row_index").alias("__source_row"))
     except AnalysisException:
         return located(written(docs))
 
@@ -61,8 +61,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        files = tc.column(b, "_file").dictionary_encode().indices.to_numpy()
-        key = tc.int64(b, "_row") // CHUNK
+        files = tc.column(b, "__source_file").dictionary_encode().indices.to_numpy()
+        key = tc.int64(b, "__source_row") // CHUNK
         cut = np.flatnonzero((files[1:] != files[:-1]) | (key[1:] != key[:-1])) + 1
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
             yield b.slice(i, j - i)
@@ -87,7 +87,7 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 def parse(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text") -> str:
     """Finds all factors and leaves them in a folder, one file for each chunk of input rows."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "_file", "_row")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "__source_file", "__source_row")
     blocks = max(1, -(-input_bytes(docs) * 3 // BLOCK_BYTES))
     folder = shared_dir(docs.sparkSession) + "/factors"
 
@@ -102,8 +102,8 @@ def parse(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text")
             block = ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
             cut = np.searchsorted(block[order], np.arange(blocks + 1))
-            meta = np.stack([_ids(b), tc.int64(b, "_row"), per]).astype("<i8").tobytes()
-            file = tc.column(b, "_file")[0].as_py()
+            meta = np.stack([_ids(b), tc.int64(b, "__source_row"), per]).astype("<i8").tobytes()
+            file = tc.column(b, "__source_file")[0].as_py()
             use = np.flatnonzero(cut[1:] > cut[:-1])
             own = [order[cut[i] : cut[i + 1]] for i in use]
             yield pa.record_batch(
@@ -163,7 +163,7 @@ class Factors:
 
     def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row in the batch, first word and length in words of each factor."""
-        file, rows = tc.column(b, "_file")[0].as_py(), tc.int64(b, "_row")
+        file, rows = tc.column(b, "__source_file")[0].as_py(), tc.int64(b, "__source_row")
         if (key := (file, int(rows[0]) // CHUNK)) != self.key:
             self.key, self.data, path = key, np.zeros((3, 0), np.int64), _name(self.folder, *key)
             fs, at = filesystem(path)
@@ -207,7 +207,7 @@ def dedup(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text")
             n = np.diff(wo)
             yield pa.record_batch([tc.column(b, "doc_id"), pa.array(n), pa.array(n - np.diff(ko)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "_file", "_row")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "__source_file", "__source_row")
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
