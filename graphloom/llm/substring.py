@@ -35,9 +35,9 @@ from graphloom.llm import textcore as tc
 from graphloom.llm.shared import filesystem, map_arrow, read_bytes, shared_dir, write_bytes, written
 
 K = 13
-SLICE = 8 << 20
+SLICE = 4 << 20
 CHUNK = 1 << 14  # rows of a file whose factors are kept together
-BLOCK_BYTES = 40 << 20  # of phrases in one index block
+BLOCK_BYTES = 12 << 20  # of phrases in one index block
 LAST = np.iinfo(np.int64).max
 
 

@@ -8,17 +8,26 @@ all those separators are ASCII, so byte positions and code points agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Python workers live on between tasks.  Large arrays are mapped apart, so that they go back to the system once freed.
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
@@ -90,7 +99,7 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(en) + 1, np.searchsorted(starts, off)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; spans are ascending and disjoint."""
     out = np.empty(len(starts), U64)
     i = 0

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +92,11 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
             none.bias = 4.0
         return none
     df = np.bincount(bucket, minlength=1 << BITS)
-    pos = np.bincount(bucket, label[doc], 1 << BITS)
+    pos = np.bincount(bucket[label[doc] > 0], minlength=1 << BITS)
     z = (pos - prior * df) / np.sqrt(df * prior * (1 - prior) + 1)
     use = np.flatnonzero((df >= min(3, 1 + n // 100)) & (np.abs(z) > 2.5))
     use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")][:kept])
-    at = np.full(1 << BITS, -1)
+    at = np.full(1 << BITS, -1, np.int32)
     at[use] = np.arange(len(use))
     keep = at[bucket] >= 0
     doc, term = doc[keep], at[bucket[keep]]
@@ -161,10 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, folds: int
             cut = np.searchsorted(owner, np.arange(b.num_rows + 1)).tolist()
             yield pa.record_batch([tc.column(b, "doc_id"), tc.column(b, "y"), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "y", "terms"])
 
-    rows = sorted(map_arrow(chosen, run, "doc_id long, y int, terms binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["terms"]))
-    each = [np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in each]) if rows else np.zeros(0, np.int64)
-    return fit(owner, np.concatenate(each) if rows else np.zeros(0, np.int64), np.array([r["y"] for r in rows], float), **options)
+    t = map_arrow(chosen, run, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")]).combine_chunks()
+    if not t.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), **options)
+    label = t["y"].to_numpy().astype(float)
+    size = pa.compute.binary_length(t["terms"]).to_numpy() // 4
+    bucket = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in t["terms"]])
+    del t
+    return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, label, **options)
 
 
 def score(docs: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text") -> DataFrame:
