@@ -205,7 +205,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 cols = [pa.array(names, pa.int64()), pa.array(ends - lengths + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 yield pa.record_batch([*cols, *([pa.array(raw, pa.binary())] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    spread = manifest.select("path", "start").repartition("path")
+    # a stated number of partitions, as shards are small rows that stand for much work
+    spread = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
