@@ -188,7 +188,7 @@ def placed(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return off[:-1][doc] + begin, length, fresh
 
 
-def score(m: Model, classes_of: np.ndarray, inside: np.ndarray, ids: np.ndarray, off: np.ndarray, chunk: int = 512) -> np.ndarray:
+def score(m: Model, classes_of: np.ndarray, inside: np.ndarray, ids: np.ndarray, off: np.ndarray, chunk: int = 192) -> np.ndarray:
     """log10 probability of each document, given all inputs laid out with a start id before each document (`off` counts those)."""
     nxt = np.append(ids[1:], EOS)
     ends = off[1:] - 1
