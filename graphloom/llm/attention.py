@@ -141,16 +141,31 @@ def train(m: Model, windows: np.ndarray, classes_of: np.ndarray, epochs: int, ra
     return loss
 
 
-def cluster(windows: np.ndarray, counts: np.ndarray, singles: int = 32, groups: int = 64, width: int = 24, seed: int = 9) -> np.ndarray:
-    """A class for each id: the most frequent alone, the rest by what stands around them."""
-    vocab, r = len(counts), np.random.default_rng(seed)
-    mark = r.normal(size=(vocab, width)).astype(np.float32) / np.sqrt(1 + counts)[:, None].astype(np.float32)
-    ctx = np.zeros((vocab, width), np.float32)
-    for step in (1, 2, 3, 4):
-        a, b = windows[:, :-step].ravel(), windows[:, step:].ravel()
-        ok = (a != 65535) & (b != 65535)
-        np.add.at(ctx, a[ok], mark[b[ok]])
-        np.add.at(ctx, b[ok], mark[a[ok]])
+def contexts(windows: np.ndarray, counts: np.ndarray, width: int = 24, seed: int = 9, batch: int = 4096) -> np.ndarray:
+    """For each id, the sum of fixed random vectors of the ids up to four places from it in windows.  Sums of parts add up to the sum of the whole."""
+    vocab = len(counts)
+    mark = np.random.default_rng(seed).normal(size=(vocab, width)).astype(np.float32) / np.sqrt(1 + counts)[:, None].astype(np.float32)
+    ctx = np.zeros((vocab, width))
+    for i in range(0, len(windows), batch):
+        w = windows[i : i + batch]
+        ok = w != 65535
+        ids = np.where(ok, w, 0).astype(np.uint16)
+        own = mark[ids] * ok[:, :, None]
+        near = np.zeros_like(own)
+        for step in (1, 2, 3, 4):
+            near[:, :-step] += own[:, step:]
+            near[:, step:] += own[:, :-step]
+        flat = ids[ok]
+        order = np.argsort(flat, kind="stable")
+        hit, begin = np.unique(flat[order], return_index=True)
+        if len(hit):
+            ctx[hit] += np.add.reduceat(near[ok][order], begin, axis=0)
+    return ctx
+
+
+def cluster(ctx: np.ndarray, counts: np.ndarray, singles: int = 32, groups: int = 64) -> np.ndarray:
+    """A class for each id: the most frequent alone, the rest by what stands around them (contexts)."""
+    vocab = len(counts)
     norm = np.sqrt((ctx**2).sum(1, keepdims=True))
     ctx = ctx / np.maximum(norm, 1e-9)
     top = np.argsort(-counts, kind="stable")[:singles]

@@ -6,7 +6,9 @@ each task sends the distinct words of its rows (8-byte hashes) with their counts
 buckets of hashes, buckets add them up, and the totals go back to the rows' own
 chunks, so neither a table of all words nor the texts are moved.  The other is a
 causal self-attention model over subword ids.  Its counts, too, cover every
-training document; its windows are a fixed share of all training windows, chosen by
+training document.  Its id classes come from context vectors summed over the windows
+of all tasks, and its first fit is on a bounded number of windows from every task;
+its windows are a fixed share of all training windows, chosen by
 hash, on which tasks train in parallel and whose weights are averaged each round.
 
 Cases: a null or empty text is its end token; a null id keeps its row, is not held
@@ -143,9 +145,9 @@ def _material(rows: DataFrame, path: str, share: int) -> DataFrame:
                 place = np.minimum(begin[doc[use]][:, None] + col, len(seq) - 1)
                 windows.append(np.where(col < size, seq[place], np.where(col == size, at.EOS, 65535)).astype("<u2"))
         w = np.concatenate(windows).tobytes() if windows else b""
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary()), pa.array([w], pa.binary())], names=["task", "counts", "windows"])
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary()), pa.array([w], pa.binary()), pa.array([len(w) // (2 * (at.WINDOW + 1))], pa.int64())], names=["task", "counts", "windows", "n"])
 
-    return written(map_arrow(rows, run, "task long, counts binary, windows binary"))
+    return written(map_arrow(rows, run, "task long, counts binary, windows binary, n long"))
 
 
 def _tree(df: DataFrame, combine, column: str) -> bytes | None:
@@ -165,6 +167,31 @@ def _windows(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(data, "<u2").reshape(-1, at.WINDOW + 1).astype(np.int64)
 
 
+def _start(material: DataFrame, counts: np.ndarray, start_windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of every task, about start_windows in proportion to what each has and at least one, and the context vectors of all windows."""
+    sent = material.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    total = material.agg(F.sum("n")).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for task, raw in zip(tc.int64(b, "task"), tc.column(b, "windows"), strict=True):
+                w = _windows([raw.as_buffer()])
+                take = min(len(w), -(-len(w) * start_windows // max(1, total)))
+                some = w[np.arange(take) * len(w) // max(1, take)]
+                ctx = at.contexts(w, sent.value)
+                yield pa.record_batch([pa.array([task], pa.int64()), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([ctx.astype("<f4").tobytes()], pa.binary())], names=["task", "windows", "data"])
+
+    def add(t: pa.Table) -> pa.Table:
+        ctx = sum(np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) for x in t["data"])
+        return pa.table([t["task"][:1], pa.array([ctx.astype("<f4").tobytes()], pa.binary())], names=["task", "data"])
+
+    found = written(map_arrow(material.select("task", "windows"), run, "task long, windows binary, data binary"))
+    first = _windows([bytes(r["windows"]) for r in found.select("task", "windows").orderBy("task").toLocalIterator()])
+    raw = _tree(found.select("task", "data"), add, "data")
+    ctx = np.frombuffer(raw, "<f4").astype(np.float64).reshape(len(counts), -1) if raw else at.contexts(first, counts)
+    return first, ctx
+
+
 def _learn(material: DataFrame, rounds: int, start_windows: int) -> tuple[at.Model, np.ndarray, np.ndarray]:
     """The model, each id's class, and the log of its share of its class."""
     size = at.EOS + 1
@@ -175,13 +202,8 @@ def _learn(material: DataFrame, rounds: int, start_windows: int) -> tuple[at.Mod
 
     raw = _tree(material.select("task", F.col("counts").alias("data")), add, "data")
     counts = np.frombuffer(pa.decompress(raw, decompressed_size=8 * size, codec="zstd", asbytes=True), "<i8") if raw else np.zeros(size, np.int64)
-    # the first model is fitted on a bounded start; all windows follow in the rounds
-    held, some = [], 0
-    for r in material.select("windows").orderBy("task").limit(4).toLocalIterator():
-        held.append(bytes(r["windows"])[: (start_windows - some) * 2 * (at.WINDOW + 1)])
-        some += len(held[-1]) // (2 * (at.WINDOW + 1))
-    first = _windows(held)
-    classes = at.cluster(first, counts)
+    first, ctx = _start(material, counts, start_windows)
+    classes = at.cluster(ctx, counts)
     mass = np.bincount(classes, counts + 0.1)
     inside = (np.log(counts + 0.1) - np.log(mass[classes])).astype(np.float64)
     prior = mass / mass.sum()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import attention, bpe, chat, encoding, neardup, neighbours, packing, quality, scoring, substring, toxicity, wavelet
@@ -262,6 +263,32 @@ def test_scoring(docs, empty):
     assert scoring.score(empty, WORDS).count() == 0
 
 
+def test_classes_and_first_fit_see_every_task(spark, monkeypatch):
+    r, width = np.random.default_rng(6), attention.WINDOW + 1
+    parts = [r.integers(1000 * k, 1000 * k + 500, (40, width)).astype("<u2") for k in range(6)]
+    parts[2][:, 20:] = 65535
+    counts = np.bincount(np.concatenate([p[p != 65535] for p in parts]), minlength=attention.EOS + 1)
+    ctx = np.zeros((len(counts), 24))
+    mark = np.random.default_rng(9).normal(size=ctx.shape).astype(np.float32) / np.sqrt(1 + counts)[:, None].astype(np.float32)
+    for w in parts:
+        for step in (1, 2, 3, 4):
+            a, b = w[:, :-step].ravel(), w[:, step:].ravel()
+            ok = (a != 65535) & (b != 65535)
+            np.add.at(ctx, a[ok], mark[b[ok]])
+            np.add.at(ctx, b[ok], mark[a[ok]])
+    packed = pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+    none = pa.compress(np.zeros(len(counts), "<i8").tobytes(), codec="zstd", asbytes=True)
+    data = [(k, bytearray(none if k else packed), bytearray(p.tobytes()), len(p)) for k, p in enumerate(parts)]
+    material = spark.createDataFrame(data, "task long, counts binary, windows binary, n long").repartition(6, "task")
+    seen = {}
+    cluster, train = attention.cluster, attention.train
+    monkeypatch.setattr(attention, "cluster", lambda c, n, *x: seen.update(ctx=c) or cluster(c, n, *x))
+    monkeypatch.setattr(attention, "train", lambda m, w, *x, **y: seen.update(first=w) or train(m, w, *x, **y))
+    scoring._learn(material, 0, 60)
+    assert np.allclose(seen["ctx"], ctx, atol=1e-3)
+    assert np.unique(seen["first"][:, 0] // 1000, return_counts=True)[1].tolist() == [10] * 6
+
+
 def test_attention_is_a_causal_distribution():
     m = attention.Model.start(50, 5, np.full(5, 0.2))
     ids = np.random.default_rng(0).integers(0, 50, (2, 8))
