@@ -8,8 +8,8 @@ chunks, so neither a table of all words nor the texts are moved.  The other is a
 causal self-attention model over subword ids.  Its counts, too, cover every
 training document.  Its id classes come from context vectors summed over the windows
 of all tasks, and its first fit is on a bounded number of windows from every task;
-its windows are a fixed share of all training windows, chosen by
-hash, on which tasks train in parallel and whose weights are averaged each round.
+in each round tasks train in parallel on all training windows (`share` > 1 takes a
+share of them by hash), and their weights are averaged.
 
 Cases: a null or empty text is its end token; a null id keeps its row, is not held
 out and is not learned from; repeated rows count each; with no training document all
@@ -35,7 +35,7 @@ from graphloom.llm.substring import CHUNK, _name, _runs, input_bytes, located
 from graphloom.llm.toxicity import _LOWER
 
 FOLDS = 10
-SHARE = 64  # one of so many training windows is trained on
+SHARE = 1  # one of so many training windows is trained on: all
 END = np.uint64(0x1D8E4E27C47D124F)  # stands for the end of a document
 SLICE = 4 << 20
 
@@ -164,7 +164,7 @@ def _tree(df: DataFrame, combine, column: str) -> bytes | None:
 
 def _windows(raw: list[bytes]) -> np.ndarray:
     data = b"".join(raw)
-    return np.frombuffer(data, "<u2").reshape(-1, at.WINDOW + 1).astype(np.int64)
+    return np.frombuffer(data, "<u2").reshape(-1, at.WINDOW + 1)
 
 
 def _start(material: DataFrame, counts: np.ndarray, start_windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def _learn(material: DataFrame, rounds: int, start_windows: int) -> tuple[at.Mod
             total = sum(np.frombuffer(x.as_buffer(), np.float32) * np.float32(w / n.sum()) for x, w in zip(t["data"], n, strict=True))
             return pa.table([t["task"][:1], pa.array([float(n.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["task", "n", "data"])
 
-        spread = material.select("windows", "task").repartition(tasks, "task").select("windows")
+        spread = material.select("windows", "task").repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).select("windows")
         new = _tree(written(map_arrow(spread, local, "task long, n double, data binary")), mean, "data")
         if new:
             model = model.unpack(new)

@@ -289,6 +289,20 @@ def test_classes_and_first_fit_see_every_task(spark, monkeypatch):
     assert np.unique(seen["first"][:, 0] // 1000, return_counts=True)[1].tolist() == [10] * 6
 
 
+def test_every_training_window_is_trained_on(docs, monkeypatch):
+    seen, learn = {}, scoring._learn
+    monkeypatch.setattr(scoring, "_learn", lambda material, *x: seen.update(rows=material.collect()) or learn(material, *x))
+    assert scoring.score(docs, WORDS, rounds=1).count() == len(ROWS)
+    enc, want = bpe.encoder(WORDS), np.zeros(attention.EOS + 1, np.int64)
+    for i, x, *_ in ROWS:
+        if i is not None and zlib.crc32(str(i).encode()) % 10:
+            raw = np.frombuffer((x or "").encode(), np.uint8)
+            want += np.bincount(enc.encode(raw, np.array([0, len(raw)]))[0], minlength=len(want))
+            want[attention.EOS] += 1
+    targets = np.concatenate([scoring._windows([bytes(r["windows"])])[:, 1:].ravel() for r in seen["rows"]])
+    assert (np.bincount(targets[targets != 65535], minlength=len(want)) == want).all()
+
+
 def test_attention_is_a_causal_distribution():
     m = attention.Model.start(50, 5, np.full(5, 0.2))
     ids = np.random.default_rng(0).integers(0, 50, (2, 8))
