@@ -8,7 +8,8 @@ end marker included, which are those to learn from.
 A conversation is rendered in parts of `turns` consecutive turn numbers, so that
 one that holds a third of all rows is many rows of bounded size.  A part that has more
 than `limit` messages nevertheless (one turn number repeated without end) is split
-further by a hash of the text; offsets are within a part.
+further: sub 0 is its first `limit` messages in order, sub 1 the next, and so on;
+offsets are within a part and sub.
 
 Cases: messages of equal turn are ordered by role and text, nulls first; a row
 that repeats conversation, turn, role and text is the same message; a null turn comes
@@ -19,9 +20,11 @@ system messages gives no rows, as does an empty table; further columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import written
+
 TURNS, LIMIT = 64, 4096
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -32,14 +35,31 @@ def _head(role: Column, me: Column) -> Column:
     return F.concat(F.lit(START), who, F.lit("\n"))
 
 
+def _ordered(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of large parts with their sub, by rank in (turn, role, text) order.
+
+    Ranges of all rows are sorted apart; the rank is that in the range plus what earlier ranges have of the part.
+    """
+    key = ["conv_id", "part", "turn", "role", "text"]
+    ranges = rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranges = written(ranges)  # ranges are drawn from a sample: they must not be drawn twice
+    part = Window.partitionBy("c", "p").orderBy("r")
+    have = ranges.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    have = have.withColumn("before", F.coalesce(F.sum("n").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranges.join(have, ranges.conv_id.eqNullSafe(F.col("c")) & ranges.part.eqNullSafe(F.col("p")) & (F.col("range") == F.col("r")))
+    return ranked.select("conv_id", "turn", "role", "text", "part", F.floor((F.col("before") + F.col("at") - F.col("first")) / limit).alias("sub"))
+
+
 def rotate(messages: DataFrame, turns: int = TURNS, limit: int = LIMIT) -> DataFrame:
     """conv_id, perspective, part, sub, n_messages, n_chars, n_trained, text and mask ("start-end,...") of every part for every speaker."""
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     rows = rows.withColumn("part", F.floor(F.col("turn") / turns))
     speakers = rows.filter((F.col("role") != SYSTEM) & F.col("role").isNotNull()).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    large = rows.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).count().filter(F.col("count") > limit)
-    split = rows.join(large, rows.conv_id.eqNullSafe(F.col("c")) & rows.part.eqNullSafe(F.col("p")), "left")
-    split = split.withColumn("sub", F.when(F.col("count").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / limit).cast("long"))))
+    large = written(rows.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).count().filter(F.col("count") > limit).select("c", "p"))
+    of = rows.conv_id.eqNullSafe(F.col("c")) & rows.part.eqNullSafe(F.col("p"))
+    split = rows.join(large, of, "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        split = split.unionByName(_ordered(rows.join(large, of, "left_semi"), limit))
     parts = split.groupBy("conv_id", "part", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     each = parts.join(speakers, parts.conv_id.eqNullSafe(speakers.c)).drop("c")
     me = F.col("perspective")

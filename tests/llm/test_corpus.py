@@ -357,6 +357,24 @@ def test_chat(spark):
     assert sum(r["n_messages"] for r in chat.rotate(many, limit=10).collect()) == 50 and chat.rotate(many, limit=10).count() > 1
 
 
+def test_a_large_part_keeps_its_order(spark):
+    r = random.Random(8)
+    data = [(c, r.choice([None, *range(70)]), r.choice(["ann", "bob", "system", None]), f"t{r.random()}") for c in (1, None) for _ in range(300)] + [(2, 0, "ann", "only")]
+    got = chat.rotate(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5), limit=25).collect()
+    low = lambda x: (x is not None, x or 0) if not isinstance(x, str) else (True, x)
+    parts = collections.defaultdict(list)
+    for c, t, role, x in data:
+        parts[c, None if t is None else t // 64].append((low(t), (role is not None, role or ""), x))
+    want = {}
+    for (c, p), said in parts.items():
+        said = [x for *_, x in sorted(said)]
+        for k in range(0, len(said), 25):
+            want[c, p, k // 25] = said[k : k + 25]
+    assert len(want) > 20 and {(g["conv_id"], g["part"], g["sub"]) for g in got} == set(want)
+    for g in got:
+        assert re.findall(r"\n(t[\d.e-]+|only)<", g["text"]) == want[g["conv_id"], g["part"], g["sub"]]
+
+
 def test_neighbours(spark, empty):
     r = np.random.default_rng(4)
     x = r.normal(size=(600, 16))
