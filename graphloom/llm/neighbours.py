@@ -92,9 +92,10 @@ def fit(sample: np.ndarray, rotations: int = 3, steps: int = 25, k: int = 5, rea
             r = (u @ w).T
         turns.append(axes.T @ r)
     coder = Coder(mean, turns, 0)
-    q = unit[: min(len(unit), 400)]
+    drawn = np.random.default_rng(seed).permutation(len(unit))[:1024]  # of the whole sample: groups of ids may be alike
+    q = unit[drawn]
     near = q @ unit.T
-    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near[np.arange(len(q)), drawn] = -np.inf
     top = np.argsort(-near, 1)[:, :k]
     dist = distances(coder.codes(q), coder.codes(unit))
     own = np.take_along_axis(dist, top, 1)

@@ -400,6 +400,19 @@ def test_neighbours(spark, empty):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_radius_reaches_past_a_group_of_the_lowest_ids():
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.normal(size=32) + 1e-3 * r.normal(size=(600, 32)), r.normal(size=(1200, 32))])
+    coder = neighbours.fit(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest = np.arange(600, 1800, 7)
+    s = unit[rest] @ unit.T
+    s[np.arange(len(rest)), rest] = -9
+    dist = neighbours.distances(coder.codes(unit[rest]), coder.codes(unit))
+    own = np.take_along_axis(dist, np.argsort(-s, 1)[:, :5], 1)
+    assert (own <= coder.radius).mean() > 0.95
+
+
 def test_multi_index_probing_meets_all():
     r = np.random.default_rng(6)
     c = neighbours.fit(r.normal(size=(3000, 16)), rotations=2)
