@@ -141,7 +141,7 @@ def train(m: Model, windows: np.ndarray, classes_of: np.ndarray, epochs: int, ra
     return loss
 
 
-def contexts(windows: np.ndarray, counts: np.ndarray, width: int = 24, seed: int = 9, batch: int = 4096) -> np.ndarray:
+def contexts(windows: np.ndarray, counts: np.ndarray, width: int = 24, seed: int = 9, batch: int = 256) -> np.ndarray:
     """For each id, the sum of fixed random vectors of the ids up to four places from it in windows.  Sums of parts add up to the sum of the whole."""
     vocab = len(counts)
     mark = np.random.default_rng(seed).normal(size=(vocab, width)).astype(np.float32) / np.sqrt(1 + counts)[:, None].astype(np.float32)

@@ -210,7 +210,7 @@ def _learn(material: DataFrame, rounds: int, start_windows: int) -> tuple[at.Mod
     model = at.Model.start(size, len(mass), np.maximum(prior, 1e-12))
     at.train(model, first, classes, epochs=4)
     spark = material.sparkSession
-    tasks = max(1, material.count() // 4)
+    tasks = max(1, material.count())
     for k in range(rounds):
         now = spark.sparkContext.broadcast((model.pack(), classes))  # one model: of fixed size
 
