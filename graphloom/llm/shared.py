@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,27 @@ def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The file and the row of a document, while it is on its way through an operator.
+FILE, ROW = "__from_file", "__from_row"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs with FILE and ROW; what does not come straight from files is written first, under names that clash with nothing."""
+    names = docs.columns
+    if len(clean := [c for c in names if c not in (FILE, ROW)]) == len(names) and "_metadata" not in map(str.lower, names):
+        try:
+            return docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        except AnalysisException:
+            pass
+    held = written(docs.toDF(*(f"c{i}" for i in range(len(names)))))
+    return held.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c in clean), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of a scan by its files, as the optimizer has it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
