@@ -22,7 +22,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import attention as at
 from graphloom.llm import bpe
 from graphloom.llm import textcore as tc
+from graphloom.llm.places import packed, unpacked
 from graphloom.llm.shared import input_bytes, located, map_arrow, read_bytes, remainder, shared_dir, write_bytes, written
 from graphloom.llm.toxicity import _LOWER
 
@@ -45,17 +45,6 @@ UNITS = 8  # to a task, and more where that would be over MOST tasks
 MOST = 20000
 
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    f = io.BytesIO()
-    np.savez(f, **arrays)
-    raw = f.getvalue()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))))
-
-
 @dataclass(frozen=True)
 class Ids:
     """The ids that begin and end a document, and how many ids there are."""
@@ -87,7 +76,7 @@ def _units(rows: DataFrame, path: str, buckets: int, folder: str) -> DataFrame:
             c = np.bincount(word, np.append(np.repeat(learn, np.diff(wo)).astype(float), float(learn.sum())), len(h)).astype("<u4")
             own, to = enc.encode(buf, off)
             windows = int((-(-(np.diff(to)[learn] + 1) // at.WINDOW)).sum())
-            write_bytes(unit, _packed(doc=ids.fill_null(0).to_numpy(zero_copy_only=False), known=ids.is_valid().to_numpy(zero_copy_only=False), fold=fold, ids=own.astype(kind), to=to, word=word.astype(np.uint32), wo=wo))
+            write_bytes(unit, packed(doc=ids.fill_null(0).to_numpy(zero_copy_only=False), known=ids.is_valid().to_numpy(zero_copy_only=False), fold=fold, ids=own.astype(kind), to=to, word=word.astype(np.uint32), wo=wo))
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             cells = list(zip(cut, [*cut[1:], len(h)], strict=True))
@@ -113,7 +102,7 @@ def _prepare(rows: DataFrame, path: str, total_bytes: int) -> DataFrame:
     def store(table: pa.Table) -> pa.Table:
         t = table.sort_by("bucket").combine_chunks()
         unit = t["unit"][0].as_py()
-        write_bytes(unit + ".counts", _packed(counts=np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in t["counts"]])))
+        write_bytes(unit + ".counts", packed(counts=np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in t["counts"]])))
         return pa.table([[unit], t["windows"][:1], pa.array([sum(t["n"].to_pylist())], pa.int64()), pa.array([sum(t["v"].to_pylist())], pa.int64())], names=["unit", "windows", "n", "v"])
 
     sent = _units(rows, path, buckets, shared_dir(rows.sparkSession) + "/units").groupBy("bucket").applyInArrow(add, "unit string, windows long, bucket long, counts binary, n long, v long")
@@ -145,7 +134,7 @@ def _statistics(spread: DataFrame, ids: Ids, windows: int, start_windows: int) -
         some = []
         for b in batches:
             for unit in tc.column(b, "unit").to_pylist():
-                own, to = _training(_unpacked(read_bytes(unit)))
+                own, to = _training(unpacked(read_bytes(unit)))
                 total[:, 0] += np.bincount(own, minlength=ids.size)
                 total[ids.end, 0] += len(to) - 1
                 total[:, 1:] += at.contexts(own, to, ids.size)
@@ -154,16 +143,16 @@ def _statistics(spread: DataFrame, ids: Ids, windows: int, start_windows: int) -
                 take = min(len(w), int(len(w) * start_windows / max(1, windows) + rng.random()))
                 some.append(w[np.sort(rng.permutation(len(w))[:take])])
         if some:
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.concatenate(some).astype("<u4").tobytes()], pa.binary()), pa.array([_packed(total=total)], pa.binary())], names=["task", "windows", "data"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.concatenate(some).astype("<u4").tobytes()], pa.binary()), pa.array([packed(total=total)], pa.binary())], names=["task", "windows", "data"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(_unpacked(x.as_py())["total"] for x in t["data"])
-        return pa.table([t["task"][:1], pa.array([_packed(total=total)], pa.binary())], names=["task", "data"])
+        total = sum(unpacked(x.as_py())["total"] for x in t["data"])
+        return pa.table([t["task"][:1], pa.array([packed(total=total)], pa.binary())], names=["task", "data"])
 
     found = written(map_arrow(spread, run, "task long, windows binary, data binary"))
     first = b"".join(bytes(r["windows"]) for r in found.select("task", "windows").orderBy("task").toLocalIterator())  # about start_windows
     raw = _tree(found.select("task", "data"), add, "data")
-    total = _unpacked(raw)["total"] if raw else np.zeros((ids.size, 1 + 2 * at.MARKS), np.int64)
+    total = unpacked(raw)["total"] if raw else np.zeros((ids.size, 1 + 2 * at.MARKS), np.int64)
     return total[:, 0], total[:, 1:], np.frombuffer(first, "<u4").reshape(-1, at.WINDOW + 1)
 
 
@@ -183,7 +172,7 @@ def _learn(spread: DataFrame, ids: Ids, windows: int, rounds: int, start_windows
             t = at.Trainer(m, now.value[1], 0.03 / (k + 1), ids.end)
             for b in batches:
                 for unit in tc.column(b, "unit").to_pylist():
-                    w = at.windows_of(*_training(_unpacked(read_bytes(unit))), ids.begin, ids.end)
+                    w = at.windows_of(*_training(unpacked(read_bytes(unit))), ids.begin, ids.end)
                     t.all(w[rng.permutation(len(w))])
                     n += len(w)
             if n:
@@ -213,7 +202,7 @@ def score(docs: DataFrame, path: str, folds: int = FOLDS, rounds: int = 1, start
         model, classes, inside = sent.value
         down = np.log10(n + 0.1 * (v + 1))
         for unit in (x for b in batches for x in tc.column(b, "unit").to_pylist()):
-            u, counts = _unpacked(read_bytes(unit)), _unpacked(read_bytes(unit + ".counts"))["counts"]
+            u, counts = unpacked(read_bytes(unit)), unpacked(read_bytes(unit + ".counts"))["counts"]
             word, docs_ = u["word"], len(u["doc"])
             each, known = (np.log10(counts + 0.1) - down)[word], counts[word] > 0
             doc_of = np.repeat(np.arange(docs_), np.diff(u["wo"]))

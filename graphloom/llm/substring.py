@@ -1,22 +1,31 @@
 """Removal of passages that repeat from an earlier document, by relative Lempel-Ziv parsing.
 
-The reference that documents are parsed against is the whole corpus.  It is
-indexed by phrases of `k` words in blocks, one block to a range of phrase hashes;
-each block keeps for every phrase the smallest document that has it.  Every
-document is parsed against every block: a phrase that an earlier document has
-begins a factor, which is extended greedily while the next phrase is found too,
-so a factor is a maximal run of found phrases.  All phrases are looked up, those
-across the ends of factors and of blocks included, so no repeat of `k` words is
-lost where one factor ends and another begins.  Words inside factors are removed.
-
-Documents stay where their files are.  What moves is 8 bytes a phrase and its
-place, and back come only the places of found phrases.  A phrase held by a third
+The reference is the whole corpus, in blocks: a block is an index of the phrases of `k`
+words that hash to it, with the first place of each phrase in the document of least id
+that has it.  Every document is looked up in every block that has its phrases, which
+gives, for each place of the document, a place in the reference where the same
+phrase stands earlier.  Parsing is greedy: the first such place begins a factor
+(source document, source place, length), which grows word by word as long as the same
+source goes on; the next factor begins at the next place found.  All phrases are
+looked up, those across the ends of factors and of blocks included, so no repeat of `k`
+words is lost where one factor ends and another begins.
+
+Phrases are looked up by hash.  Each factor is then held against its source's own words:
+the target's task sends a 16-byte digest of the factor's words to the chunk of rows where the
+source lies (equal requests only once, however many documents hold the passage), and that
+chunk's task compares it with the digest of its own words.  If any differ, everything is parsed
+again under other hashes, so hashes can cost time but not a wrong word.
+
+Documents stay where their files are.  What moves is 8 bytes a phrase with its place and
+document id, and back come the places of found phrases with their sources.  The block is drawn from
+a second hash, whose bits add to the 64 that are sent.  A phrase held by a third
 of all rows is one key of one block and is never paired up.
 
 Cases: a null or empty text, or one of fewer than `k` words, loses nothing; equal
 texts lose all but the smallest id's; rows with equal ids do not remove each
-other's words; a null id counts as larger than all others; an empty table gives no
-rows; further columns are kept by `dedup_text` and ignored by `dedup`.
+other's words; a null id counts as larger than all others; very long texts are parsed whole;
+an empty table gives no rows; further columns, whatever they are called, are kept by
+`dedup_text` and ignored by `dedup`.
 """
 
 from __future__ import annotations
@@ -27,163 +36,245 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.shared import filesystem, map_arrow, read_bytes, shared_dir, write_bytes, written
+from graphloom.llm.places import CHUNK, Kept, chunk_of, keep, matched, runs
+from graphloom.llm.shared import FILE, ROW, input_bytes, located, map_arrow, shared_dir, written
 
 K = 13
 SLICE = 4 << 20
-CHUNK = 1 << 14  # rows of a file whose factors are kept together
-BLOCK_BYTES = 12 << 20  # of phrases in one index block
+BLOCK_BYTES = 12 << 20  # of phrases in one index block, and more for inputs over about 30 GB
 LAST = np.iinfo(np.int64).max
-
-
-def located(docs: DataFrame) -> DataFrame:
-    """docs with the file and the row of each document; what does not come straight from files is written first."""
-    if {"__source_file", "__source_row"} <= set(docs.columns):
-        return docs
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__source_file"), F.col("_metadata.row_index").alias("__source_row"))
-    except AnalysisException:
-        return located(written(docs))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the scan by its files, as the optimizer has it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of batches that lie in one file and one chunk of its rows."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        files = tc.column(b, "__source_file").dictionary_encode().indices.to_numpy()
-        key = tc.int64(b, "__source_row") // CHUNK
-        cut = np.flatnonzero((files[1:] != files[:-1]) | (key[1:] != key[:-1])) + 1
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
-            yield b.slice(i, j - i)
+SEEDS = 4
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return tc.column(b, "doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def _name(folder: str, file: str, chunk: int) -> str:
-    return f"{folder}/{hashlib.md5(file.encode()).hexdigest()}-{chunk}"
+def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as byte planes: the shuffle's compression all but removes those that hardly change."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Small steps between ascending numbers as byte planes, which the shuffle's compression all but removes."""
-    return np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _unplanes(data: pa.Scalar, kind: str = "<u4") -> np.ndarray:
+    k = np.dtype(kind)
+    return np.frombuffer(data.as_buffer(), np.uint8).reshape(k.itemsize, -1).T.copy().view(k).ravel().astype(np.int64)
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64))
+def _blocks(total: int) -> int:
+    """Blocks grow with the root of the input beyond 30 GB, so that a slice's share of a block stays more than its row's overhead."""
+    return max(1, -(-total * 3 // max(BLOCK_BYTES, int(72 * total**0.5))))
 
 
-def parse(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text") -> str:
-    """Finds all factors and leaves them in a folder, one file for each chunk of input rows."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "__source_file", "__source_row")
-    blocks = max(1, -(-input_bytes(docs) * 3 // BLOCK_BYTES))
-    folder = shared_dir(docs.sparkSession) + "/factors"
+def _found(rows: DataFrame, k: int, seed: int, total: int) -> DataFrame:
+    """file, chunk, and packed columns: row and place of phrases that an earlier document has, with file, row and place of the first."""
+    blocks = _blocks(total)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, buf, off in tc.slices(_runs(batches), limit=SLICE):
+        for b, buf, off in tc.slices(runs(batches), limit=SLICE):
             starts, ends, wo = tc.spans(buf, off)
-            h = tc.span_hashes(buf, starts, ends)
             at, per = tc.ngram_rows(wo, k)
             if not len(at):
                 continue
+            h = tc.span_hashes(buf, starts, ends, seed=seed)
             grams = tc.ngrams(h, k)[at]
-            block = ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            block = ((tc.ngrams(h, k, 0xA24BAED4963EE407)[at] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            doc = np.repeat(np.arange(len(per)), per)
             order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
-            cut = np.searchsorted(block[order], np.arange(blocks + 1))
-            meta = np.stack([_ids(b), tc.int64(b, "__source_row"), per]).astype("<i8").tobytes()
-            file = tc.column(b, "__source_file")[0].as_py()
-            use = np.flatnonzero(cut[1:] > cut[:-1])
-            own = [order[cut[i] : cut[i + 1]] for i in use]
+            block, doc, place = block[order], doc[order], (at - wo[doc])[order]
+            cell = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            run = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))  # phrases of one document in one block
+            step = np.diff(place, prepend=0)
+            step[run] = place[run]
+            size = np.diff(np.append(run, len(doc)))
+            which = doc[run]
+            ids, row = _ids(b)[which], (tc.int64(b, ROW) % CHUNK)[which]
+            grams = grams[order]
+            edge = np.append(cell, len(doc)).tolist()
+            part = np.append(np.searchsorted(run, cell), len(run)).tolist()
+            file, chunk = chunk_of(b)
+            n = len(cell)
+            cells = list(zip(edge[:-1], edge[1:], part[:-1], part[1:], strict=True))
             yield pa.record_batch(
-                [pa.array(use.astype(np.int64)), pa.array([file] * len(use)), pa.array([meta] * len(use), pa.binary()), pa.array([grams[o].tobytes() for o in own], pa.binary()), pa.array([_planes(o) for o in own], pa.binary())],
-                names=["block", "file", "meta", "grams", "places"],
+                [
+                    pa.array(block[cell]),
+                    pa.array([file] * n),
+                    pa.array([chunk] * n, pa.int64()),
+                    pa.array([_planes(ids[p:q], "<i8") + _planes(row[p:q], "<u2") + _planes(size[p:q]) for _, _, p, q in cells], pa.binary()),
+                    pa.array([grams[i:j].tobytes() for i, j, _, _ in cells], pa.binary()),
+                    pa.array([_planes(step[i:j]) for i, j, _, _ in cells], pa.binary()),
+                ],
+                names=["block", "file", "chunk", "docs", "grams", "places"],
             )
 
     def look_up(table: pa.Table) -> pa.Table:
-        """All phrases of one block: which are found in an earlier document."""
+        """All phrases of one block: which an earlier document has, and where."""
         t = table.combine_chunks()
         grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]])
-        places = [_unplanes(x.as_py()) for x in t["places"]]
-        metas = [np.frombuffer(x.as_buffer(), "<i8").reshape(3, -1) for x in t["meta"]]
-        which = [np.repeat(np.arange(m.shape[1]), m[2])[p] for m, p in zip(metas, places, strict=True)]
-        ids = np.concatenate([m[0][w] for m, w in zip(metas, which, strict=True)])
-        order = np.argsort(grams)
+        ids, row, place, cell = (np.empty(len(grams), kind) for kind in (np.int64, np.uint16, np.uint32, np.int32))
+        cut = [0]
+        for c, (docs, steps) in enumerate(zip(t["docs"], t["places"], strict=True)):
+            raw = np.frombuffer(docs.as_buffer(), np.uint8)
+            n = len(raw) // 14
+            planes = [raw[a * n : z * n].reshape(z - a, n).T.copy().view(kind).ravel() for a, z, kind in ((0, 8, "<i8"), (8, 10, "<u2"), (10, 14, "<u4"))]
+            size = planes[2].astype(np.int64)
+            d = _unplanes(steps)
+            total, first = np.cumsum(d), np.cumsum(size) - size
+            i, j = cut[-1], cut[-1] + len(d)
+            ids[i:j], row[i:j] = np.repeat(planes[0], size), np.repeat(planes[1], size)
+            place[i:j] = total - np.repeat(total[first] - d[first], size)
+            cell[i:j] = c
+            cut.append(j)
+        order = np.argsort(grams, kind="stable")
         grams = grams[order]
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        ids = ids[order]
-        least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
-        found = np.zeros(len(ids), bool)
-        found[order] = ids > least
+        count = np.diff(np.append(first, len(grams)))
+        del grams
+        order = order[np.repeat(count > 1, count)]  # phrases that come once end here
+        count = count[count > 1]
+        own = ids[order]
+        begin = np.cumsum(count) - count
+        least = np.repeat(np.minimum.reduceat(own, begin), count) if len(own) else own
+        source = np.repeat(np.minimum.reduceat(np.where(own == least, order, len(ids)), begin), count) if len(own) else order
+        later = own > least
+        hit, source = order[later], source[later]
+        turn = np.argsort(hit, kind="stable")
+        hit, source = hit[turn], source[turn]
+        files, chunks = t["file"].dictionary_encode().combine_chunks(), t["chunk"].to_numpy()
+        number = files.indices.to_numpy()
         out: list[list] = [[], [], [], []]
-        i = 0
-        for file, m, p, w in zip(t["file"].to_pylist(), metas, places, which, strict=True):
-            hit = np.flatnonzero(found[i : i + len(p)])
-            i += len(p)
-            if len(hit):
-                begin = np.cumsum(m[2]) - m[2]
-                for c, v in zip(out, (file, int(m[1][0]) // CHUNK, (m[1][w[hit]] % CHUNK).astype("<u2").tobytes(), (p[hit] - begin[w[hit]]).astype("<u4").tobytes()), strict=True):
-                    c.append(v)
-        return pa.table([pa.array(c, t_) for c, t_ in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["file", "chunk", "row", "place"])
+        edge = np.searchsorted(hit, cut)
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            h, s = hit[edge[c] : edge[c + 1]], source[edge[c] : edge[c + 1]]
+            names, at = np.unique(number[cell[s]], return_inverse=True)
+            data = _planes(row[h], "<u2") + _planes(place[h]) + _planes(at, "<u2") + _planes(chunks[cell[s]] * CHUNK + row[s]) + _planes(place[s].astype(np.int64) - place[h], "<i4")
+            for col, v in zip(out, (files.indices[c].as_py(), int(chunks[c]), names.tolist(), data), strict=True):
+                col.append(v)
+        name = files.dictionary
+        return pa.table([name.take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int64()), pa.array([[name[i].as_py() for i in x] for x in out[2]], pa.list_(pa.string())), pa.array(out[3], pa.binary())], names=["file", "chunk", "sources", "data"])
 
+    cells = map_arrow(rows, phrases, "block long, file string, chunk long, docs binary, grams binary, places binary")
+    return cells.groupBy("block").applyInArrow(look_up, "file string, chunk long, sources array<string>, data binary")
+
+
+def factors(row: np.ndarray, place: np.ndarray, file: np.ndarray, source_row: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy parse of found places: where (in row and place order) each factor begins, and how many phrases it has.  A factor goes on while the next place is found in the same document, one word further."""
+    go_on = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1) & (file[1:] == file[:-1]) & (source_row[1:] == source_row[:-1]) & (shift[1:] == shift[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~go_on]))[: len(row)]
+    return first, np.diff(np.append(first, len(row)))
+
+
+def _store(folder: str, k: int):
     def store(key: tuple, table: pa.Table) -> pa.Table:
-        """The factors of one chunk of rows: runs of places that follow one another."""
-        row = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in table["row"]]).astype(np.int64)
-        place = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table["place"]]).astype(np.int64)
-        both = np.sort(row << 40 | place)
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1] + 1]))
-        size = np.diff(np.append(first, len(both)))
-        both = both[first]
-        data = np.stack([both >> 40, both & (1 << 40) - 1, size + k - 1]).astype("<i8").tobytes()
+        """The factors of one chunk of rows, in its side file."""
         file, chunk = (x.as_py() for x in key)
-        write_bytes(_name(folder, file, chunk), pa.compress(data, codec="zstd", asbytes=True) + len(data).to_bytes(8, "little"))
+        names = sorted({s for x in table["sources"].to_pylist() for s in x})
+        of = {s: i for i, s in enumerate(names)}
+        cols: list[list] = [[], [], [], [], []]
+        for sources, data in zip(table["sources"].to_pylist(), table["data"], strict=True):
+            raw = np.frombuffer(data.as_buffer(), np.uint8)
+            n = len(raw) // 16
+            for c, a, z, kind in zip(cols, (0, 2, 6, 8, 12), (2, 6, 8, 12, 16), ("<u2", "<u4", "<u2", "<u4", "<i4"), strict=True):
+                c.append(raw[a * n : z * n].reshape(z - a, n).T.copy().view(kind).ravel())
+            cols[2][-1] = np.array([of[s] for s in sources], np.uint32)[cols[2][-1]]
+        row, place, source, source_row, shift = (np.concatenate(c) for c in cols)
+        order = np.argsort(row.astype(np.int64) << 40 | place)
+        row, place, source, source_row, shift = (x[order].astype(np.int64) for x in (row, place, source, source_row, shift))
+        first, n = factors(row, place, source, source_row, shift)
+        keep(folder, file, chunk, row=row[first], place=place[first], words=n + k - 1, source=source[first], source_row=source_row[first], source_place=place[first] + shift[first], files=np.array(names, dtype=np.str_))
         return pa.table({"n": pa.array([len(first)], pa.int64())})
 
-    found = map_arrow(rows, phrases, "block long, file string, meta binary, grams binary, places binary").groupBy("block").applyInArrow(look_up, "file string, chunk long, row binary, place binary")
-    written(found.groupBy("file", "chunk").applyInArrow(store, "n long"))
-    return folder
+    return store
+
 
+def _plain(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space behind each, and where each begins (and the last ends)."""
+    size = ends - starts + 1
+    at = np.append(starts, len(buf))
+    tight = len(starts) and (at[1:-1] == ends[:-1] + 1).all() and starts[0] == 0 and ends[-1] >= len(buf) - 1
+    raw = np.append(buf, np.uint8(32))
+    raw = np.where(tc.SPACE[raw], np.uint8(32), raw)
+    if not tight:
+        raw = raw[tc.ragged(starts, size)]
+    return raw.tobytes(), np.concatenate([[0], np.cumsum(size)])
 
-class Factors:
-    """Reads a chunk's factors when its rows come up."""
 
-    def __init__(self, folder: str):
-        self.folder, self.key, self.data = folder, None, np.zeros((3, 0), np.int64)
+def _digests(plain: bytes, to: np.ndarray, first: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """Digest of each range of words, joined by one space."""
+    return [hashlib.blake2b(plain[a : b - 1], digest_size=16).digest() for a, b in zip(to[first].tolist(), to[first + words].tolist(), strict=True)]
 
-    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row in the batch, first word and length in words of each factor."""
-        file, rows = tc.column(b, "__source_file")[0].as_py(), tc.int64(b, "__source_row")
-        if (key := (file, int(rows[0]) // CHUNK)) != self.key:
-            self.key, self.data, path = key, np.zeros((3, 0), np.int64), _name(self.folder, *key)
-            fs, at = filesystem(path)
-            if fs.get_file_info(at).type.name == "File":
-                raw = read_bytes(path)
-                self.data = np.frombuffer(pa.decompress(raw[:-8], decompressed_size=int.from_bytes(raw[-8:], "little"), codec="zstd", asbytes=True), "<i8").reshape(3, -1)
-        d = self.data
-        order = np.argsort(rows % CHUNK)
-        at = np.searchsorted((rows % CHUNK)[order], d[0])
-        at = np.minimum(at, len(rows) - 1)
-        inside = (rows % CHUNK)[order][at] == d[0]
-        return order[at[inside]], d[1][inside], d[2][inside]
 
+def _verify(rows: DataFrame, folder: str) -> bool:
+    """Whether the words of every factor are those of its source."""
+    asked = folder + "-asked"
 
-def _marked(b: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, factors: Factors):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(folder)
+        for b, buf, off in tc.slices(runs(batches), limit=2 << 20):
+            d = kept.of(b)
+            if not d:
+                continue
+            use, doc = matched(b, d["row"])
+            if not len(use):
+                continue
+            starts, ends, wo = tc.spans(buf, off)
+            got = _digests(*_plain(buf, starts, ends), wo[doc] + d["place"][use], d["words"][use])
+            cols = [pa.array(d["files"][d["source"][use]]), *(pa.array(d[c][use]) for c in ("source_row", "source_place", "words")), pa.array(got, pa.binary())]
+            yield pa.record_batch(cols, names=["file", "row", "place", "words", "digest"])
+
+    def store(key: tuple, table: pa.Table) -> pa.Table:
+        file, chunk = (x.as_py() for x in key)
+        raw = np.frombuffer(b"".join(table["digest"].to_pylist()), "V16")
+        keep(asked, file, chunk, row=table["row"].to_numpy() % CHUNK, place=table["place"].to_numpy(), words=table["words"].to_numpy(), digest=raw)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, equal, n = Kept(asked), 0, 0
+        for b, buf, off in tc.slices(runs(batches), limit=2 << 20):
+            d = kept.of(b)
+            if not d:
+                continue
+            use, doc = matched(b, d["row"])
+            if len(use):
+                starts, ends, wo = tc.spans(buf, off)
+                first, words = wo[doc] + d["place"][use], d["words"][use]
+                inside = first + words <= wo[doc + 1]
+                got = np.frombuffer(b"".join(_digests(*_plain(buf, starts, ends), first[inside], words[inside])), "V16")
+                equal += int((got == d["digest"][use[inside]]).sum())
+                n += len(use)
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([equal], pa.int64())], names=["n", "equal"])
+
+    requests = map_arrow(rows, ask, "file string, row long, place long, words long, digest binary").distinct()
+    sent = written(requests.withColumn("chunk", (F.col("row") / CHUNK).cast("long")).groupBy("file", "chunk").applyInArrow(store, "n long"))
+    want = sent.agg(F.sum("n")).first()[0] or 0
+    n, equal = (x or 0 for x in map_arrow(rows, compare, "n long, equal long").agg(F.sum("n"), F.sum("equal")).first())
+    if n != want:
+        raise RuntimeError(f"{want} factors were to be verified, {n} were found")
+    return n == equal
+
+
+def parse(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text") -> str:
+    """Finds all factors of located docs and leaves them in a folder, one file for each chunk of input rows."""
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), FILE, ROW)
+    for seed in range(SEEDS):
+        folder = f"{shared_dir(docs.sparkSession)}/factors"
+        written(_found(rows, k, seed, input_bytes(docs)).groupBy("file", "chunk").applyInArrow(_store(folder, k), "n long"))
+        if _verify(rows, folder):
+            return folder
+    raise RuntimeError("factors differ from their sources under every hash")
+
+
+def _marked(b: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, kept: Kept):
     starts, ends, wo = tc.spans(buf, off)
-    doc, first, size = factors.of(b)
     edge = np.zeros(len(starts) + 1, np.int32)
-    np.add.at(edge, wo[doc] + first, 1)
-    np.add.at(edge, wo[doc] + first + size, -1)
+    if d := kept.of(b):
+        use, doc = matched(b, d["row"])
+        np.add.at(edge, wo[doc] + d["place"][use], 1)
+        np.add.at(edge, wo[doc] + d["place"][use] + d["words"][use], -1)
     return starts, ends, wo, np.cumsum(edge[:-1]) > 0
 
 
@@ -193,35 +284,30 @@ def dedup(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text")
     folder = parse(docs, k, doc, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = Factors(folder)
-        for b, buf, off in tc.slices(_runs(batches), limit=2 << 20):
-            starts, ends, wo, gone = _marked(b, buf, off, factors)
+        kept_ = Kept(folder)
+        for b, buf, off in tc.slices(runs(batches), limit=2 << 20):
+            starts, ends, wo, gone = _marked(b, buf, off, kept_)
             kept = np.flatnonzero(~gone)
             ko = np.searchsorted(kept, wo)
-            size = ends[kept] - starts[kept] + 1
-            last = ko[1:][ko[1:] > ko[:-1]] - 1
-            size[last] -= 1
-            plain = np.where(tc.SPACE[buf], np.uint8(32), buf)[tc.ragged(starts[kept], size)].tobytes() if len(kept) else b""
-            to = np.concatenate([[0], np.cumsum(size)])[ko].tolist()
-            sha = [hashlib.sha256(plain[x:y]).hexdigest() for x, y in zip(to[:-1], to[1:], strict=True)]
+            plain, at = _plain(buf, starts[kept], ends[kept])
+            to = at[ko].tolist()
+            sha = [hashlib.sha256(plain[x : max(x, y - 1)]).hexdigest() for x, y in zip(to[:-1], to[1:], strict=True)]
             n = np.diff(wo)
             yield pa.record_batch([tc.column(b, "doc_id"), pa.array(n), pa.array(n - np.diff(ko)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), "__source_file", "__source_row")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), FILE, ROW)
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_text(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with the removed words (each with the white space after it) gone from the text."""
-    names = docs.columns
-    schema = docs.schema
-    docs = located(docs)
+    names, schema, docs = docs.columns, docs.schema, located(docs)
     folder = parse(docs, k, doc, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = Factors(folder)
-        for b, buf, off in tc.slices(_runs(batches), text=text, limit=2 << 20):
-            starts, _, wo, gone = _marked(b, buf, off, factors)
+        kept_ = Kept(folder)
+        for b, buf, off in tc.slices(runs(batches), text=text, limit=2 << 20):
+            starts, _, wo, gone = _marked(b, buf, off, kept_)
             edge = np.zeros(len(buf) + 1, np.int32)
             bad = np.flatnonzero(gone)
             if len(bad):
@@ -229,9 +315,9 @@ def dedup_text(docs: DataFrame, k: int = K, doc: str = "doc_id", text: str = "te
                 stop[wo[1:][wo[1:] > wo[:-1]] - 1] = off[1:][wo[1:] > wo[:-1]]
                 np.add.at(edge, starts[bad], 1)
                 np.add.at(edge, stop[bad], -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            kept = buf[keep].tobytes()
-            to = np.concatenate([[0], np.cumsum(keep)])[off].tolist()
+            stay = np.cumsum(edge[:-1]) == 0
+            kept = buf[stay].tobytes()
+            to = np.concatenate([[0], np.cumsum(stay)])[off].tolist()
             old, touched = tc.column(b, text), np.diff(np.array(to)) < np.diff(off)
             new = pa.array([kept[x:y].decode("utf-8", "replace") if t else None for x, y, t in zip(to[:-1], to[1:], touched.tolist(), strict=True)], pa.string())
             yield pa.record_batch([pa.compute.if_else(pa.array(touched), new, old.cast(pa.string())) if c == text else tc.column(b, c) for c in names], names=names)

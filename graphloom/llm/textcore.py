@@ -99,9 +99,12 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(en) + 1, np.searchsorted(starts, off)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are ascending and disjoint."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are ascending and disjoint.  Another seed is another hash."""
     out = np.empty(len(starts), U64)
+    value = np.arange(1, 257, dtype=U64)
+    if seed:
+        value = mix(value * U64(0x9E3779B97F4A7C15) + U64(seed))
     i = 0
     while i < len(starts):
         lo = int(starts[i])
@@ -109,7 +112,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: in
         hi = int(ends[j - 1])
         p, q = _powers(hi - lo + 1)
         acc = np.zeros(hi - lo + 1, U64)
-        np.cumsum((buf[lo:hi].astype(U64) + U64(1)) * p[: hi - lo], out=acc[1:])
+        np.cumsum(value[buf[lo:hi]] * p[: hi - lo], out=acc[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = (acc[e] - acc[s]) * q[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
         i = j

@@ -308,7 +308,7 @@ def test_scoring_learns_from_every_unit(docs, monkeypatch):
 
     def keep(spread, ids, windows, *x):
         for r in spread.collect():
-            w = attention.windows_of(*scoring._training(scoring._unpacked(scoring.read_bytes(r["unit"]))), ids.begin, ids.end)
+            w = attention.windows_of(*scoring._training(scoring.unpacked(scoring.read_bytes(r["unit"]))), ids.begin, ids.end)
             trained.append(w)
         assert windows == sum(map(len, trained)) and spread.rdd.getNumPartitions() > 2
         return learn(spread, ids, windows, *x)
