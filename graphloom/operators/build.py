@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import dates, numeric
 from graphloom.functions import text as tx
+from graphloom.plans.lineage import cut
 
 
 @dataclass
@@ -44,10 +45,18 @@ class Graph:
     config: Config | None = None
     frozen: bool = False
 
+    def kept(self) -> Graph:
+        """The same graph with both tables written once, for plans that read them several times."""
+        return Graph(cut(self.nodes), cut(self.edges), self.config, self.frozen)
+
+    def ends(self) -> DataFrame:
+        """Neighbour pairs, both ways, one for each edge and end."""
+        e = self.edges.select("src", "dst")
+        return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
     def adjacency(self) -> DataFrame:
         """Distinct neighbour pairs, both ways."""
-        e = self.edges.select("src", "dst")
-        return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        return self.ends().distinct()
 
     def typed(self) -> DataFrame:
         """Every edge once for each end."""
@@ -122,9 +131,20 @@ def upsert(edges: DataFrame) -> DataFrame:
     return edges.groupBy(low, high, "etype").agg(first("src").alias("src"), first("dst").alias("dst"), F.max("weight").alias("weight"), F.max("confidence").alias("confidence"), first("outcome").alias("outcome"), F.min("ord").alias("ord")).drop("_low", "_high")
 
 
+def _edges(rows: DataFrame, c: Config) -> DataFrame:
+    """Edges to features have one direction and, without outcomes, nothing to choose between: they are added up by hash.  The rest takes `upsert`."""
+    rows = rows.withColumn("dst", tx.node_id(F.col("kind"), F.col("label")))
+    if c.outcome_column:
+        return upsert(rows)
+    plain = lambda r: r.groupBy("etype", "src", "dst").agg(F.max("weight").alias("weight"), F.max("confidence").alias("confidence"), F.lit(None).cast("string").alias("outcome"), F.min("ord").alias("ord"))
+    if not c.relationships:
+        return plain(rows)
+    return upsert(rows.filter("kind = 'entity'")).unionByName(plain(rows.filter("kind <> 'entity'")))
+
+
 def build(df: DataFrame, c: Config) -> Graph:
     rows = projected(df, c)
-    edges = upsert(rows.withColumn("dst", tx.node_id(F.col("kind"), F.col("label"))))
+    edges = _edges(rows, c)
     own = records(df, c).select(F.col("_node").alias("id"), F.lit("entity").alias("type"), F.col(c.id_column).cast("string").alias("label"), F.col(c.order_column).cast("long").alias("ord"), F.lit(True).alias("is_record"))
     other = rows.select(tx.node_id(F.col("kind"), F.col("label")).alias("id"), F.col("kind").alias("type"), "label", "ord", F.lit(False).alias("is_record"))
     nodes = own.unionByName(other).groupBy("id").agg(F.min_by("type", "ord").alias("type"), F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"), F.bool_or("is_record").alias("is_record"))

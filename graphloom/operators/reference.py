@@ -55,7 +55,7 @@ def overlap_rate(g: Graph, ref: DataFrame, kind: str | None = None) -> DataFrame
 
 def adoption_rate(g: Graph, found: DataFrame, owned: DataFrame, target: str) -> DataFrame:
     """The share of a record's nearest peers that have the target value."""
-    return _value(g, similar.rates(found, owned).filter(F.col("value") == target).select("id", "rate"), F.col("rate"))
+    return _value(g, similar.rates(found, owned, [target]).select("id", "rate"), F.col("rate"))
 
 
 def distance_to_nearest(g: Graph, ref: DataFrame, cap: int = CAP) -> DataFrame:

@@ -11,40 +11,103 @@ from graphloom.functions import numeric, vectors
 from graphloom.functions import text as tx
 from graphloom.operators import structure
 from graphloom.operators.build import Graph
+from graphloom.plans.lineage import cut
+
+
+ASKED, KNOWN = 1024, 8192  # signatures in a block
+
+
+def nearest(asked: DataFrame, known: DataFrame, k: int, sharing: bool = False) -> DataFrame:
+    """a, b, distance: for each set (a, f) the k nearest of the sets (b, f) by Jaccard distance, ties to the smaller b; `sharing` leaves out those with nothing in common.
+
+    `f` are arrays of longs, `a` and `b` longs.  Blocks of sets meet as products of incidence
+    matrices over the items that both blocks have, and a block pair sends on only k for each a.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    na, nb = max(1, -(-asked.count() // ASKED)), max(1, -(-known.count() // KNOWN))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("a").alias("key"), "f", F.pmod(F.xxhash64("a"), F.lit(na)).cast("int").alias("x"), every(nb).alias("y"), F.lit(True).alias("asks"))
+    right = known.select(F.col("b").alias("key"), "f", every(na).alias("x"), F.pmod(F.xxhash64("b"), F.lit(nb)).cast("int").alias("y"), F.lit(False).alias("asks"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key").combine_chunks()
+        asks, key = t["asks"].to_numpy(zero_copy_only=False), t["key"].to_numpy()
+        f = t["f"].combine_chunks() if isinstance(t["f"], pa.ChunkedArray) else t["f"]
+        size = np.diff(f.offsets.to_numpy())
+        item, owner = f.flatten().to_numpy(), np.repeat(np.arange(len(key)), size)
+        row = np.where(asks, np.cumsum(asks) - 1, np.cumsum(~asks) - 1)
+        n, m = int(asks.sum()), int((~asks).sum())
+        if not n or not m:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        here = asks[owner]
+        both = np.intersect1d(item[here], item[~here])
+        column = np.minimum(np.searchsorted(both, item), max(0, len(both) - 1))
+        met = (both[column] == item) if len(both) else np.zeros(len(item), bool)
+        owner, column, here = owner[met], column[met], here[met]
+        shared = np.zeros((n, m), np.float32)
+        for c in range(0, len(both), 2048):
+            use = (column >= c) & (column < c + 2048)
+            width = min(2048, len(both) - c)
+            u, v = np.zeros((n, width), np.float32), np.zeros((m, width), np.float32)
+            w = use & here
+            u[row[owner[w]], column[w] - c] = 1
+            w = use & ~here
+            v[row[owner[w]], column[w] - c] = 1
+            shared += u @ v.T
+        shared = shared.astype(np.float64)
+        union = size[asks][:, None] + size[~asks][None, :] - shared
+        distance = 1.0 - np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        if sharing:
+            distance[shared == 0] = np.inf
+        best = np.argsort(distance, axis=1, kind="stable")[:, :k]  # columns are in key order
+        d = np.take_along_axis(distance, best, 1)
+        ok = np.isfinite(d)
+        return pa.table({"a": np.repeat(key[asks], best.shape[1])[ok.ravel()], "b": key[~asks][best][ok], "distance": d[ok]})
+
+    found = left.unionByName(right).groupBy("x", "y").applyInArrow(meet, "a long, b long, distance double")
+    w = Window.partitionBy("a").orderBy("distance", "b")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """f and first: every different set with the least order number that has it."""
+    return sets.groupBy("f").agg(F.min("ord").alias("first"))
+
+
+def neighbour_sets(g: Graph, features_only: bool = False) -> DataFrame:
+    """id, ord and f (hashes of its neighbours, sorted) of every record; written once, as several plans start from it."""
+    records = g.nodes.filter("is_record").select("id", "ord")
+    ends = g.ends().join(records.select(F.col("id").alias("src")), "src", "left_semi")
+    if features_only:
+        ends = ends.join(records.select(F.col("id").alias("dst")), "dst", "left_anti")
+    sets = ends.groupBy("src").agg(F.sort_array(F.collect_set(F.xxhash64("dst"))).alias("f"))
+    return cut(records.join(sets, records.id == sets.src, "left").select("id", "ord", F.coalesce("f", F.array().cast("array<bigint>")).alias("f")))
+
+
+def members(sets: DataFrame, sig: DataFrame, k: int) -> DataFrame:
+    """b, peer, peer_ord: the first k records of every signature."""
+    head = sets.withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy("ord"))).filter(F.col("r") <= k)
+    return head.join(sig, "f").select(F.col("first").alias("b"), F.col("id").alias("peer"), F.col("ord").alias("peer_ord"))
 
 
 def knn(g: Graph, k: int = 5, features_only: bool = False) -> DataFrame:
     """id, peer, rank, distance: the k records nearest by Jaccard distance of neighbour sets, ties by order.
 
     Exact, without comparing records pair by pair.  Records with equal neighbour sets
-    are one signature; signatures meet where they share a feature, and the k + 1 best of
-    each, with their k + 1 first members, hold everyone's k nearest.  Where fewer than k share
-    anything, the first records by order follow at distance 1.
+    are one signature; the k + 1 nearest signatures of each, with their k + 1 first
+    members, hold everyone's k nearest, those that share nothing (distance 1) included.
     """
-    records = g.nodes.filter("is_record").select("id", "ord")
-    adj = g.adjacency().join(records.select(F.col("id").alias("src")), "src", "left_semi")
-    if features_only:
-        adj = adj.join(records.select(F.col("id").alias("dst")), "dst", "left_anti")
-    sets = adj.groupBy("src").agg(F.md5(F.concat_ws("\x00", F.sort_array(F.collect_set("dst")))).alias("sig"), F.count("*").alias("size"))
-    own = records.join(sets, records.id == sets.src, "left").select("id", "ord", F.coalesce("sig", F.lit("")).alias("sig"), F.coalesce("size", F.lit(0)).alias("size"))
-    head = own.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("ord"))).filter(F.col("r") <= k + 1).select("sig", F.col("id").alias("peer"), F.col("ord").alias("peer_ord"), "r")
-    sig = own.groupBy("sig").agg(F.first("size").alias("size"), F.min("ord").alias("first"))
-    feature = adj.join(sets, "src").select("sig", "dst").distinct()
-    x, y = feature.select(F.col("sig").alias("a"), "dst"), feature.select(F.col("sig").alias("b"), "dst")
-    shared = x.join(y, "dst").groupBy("a", "b").agg(F.count("*").alias("n"))
-    sa, sb = sig.select(F.col("sig").alias("a"), F.col("size").alias("na")), sig.select(F.col("sig").alias("b"), F.col("size").alias("nb"), F.col("first").alias("fb"))
-    near = shared.join(sa, "a").join(sb, "b").withColumn("distance", 1.0 - F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "fb"))).filter(F.col("r") <= k + 1).select("a", "b", "distance")
-    close = best.join(head.withColumnRenamed("sig", "b"), "b").select("a", "peer", "peer_ord", "distance")
-    first = records.orderBy("ord").limit(2 * k + 1).collect()  # as many as could be asked for
-    fill = F.explode(F.array(*(F.struct(F.lit(r["id"]).alias("peer"), F.lit(r["ord"]).alias("peer_ord")) for r in first))) if first else F.explode(F.array().cast("array<struct<peer:string,peer_ord:bigint>>"))
-    far = sig.select(F.col("sig").alias("a"), fill.alias("p")).select("a", "p.peer", "p.peer_ord", F.lit(1.0).alias("distance"))
-    every = close.unionByName(far).groupBy("a", "peer", "peer_ord").agg(F.min("distance").alias("distance"))
+    sets = neighbour_sets(g, features_only)
+    sig = cut(signatures(sets))
+    near = nearest(sig.select(F.col("first").alias("a"), "f"), sig.select(F.col("first").alias("b"), "f"), k + 1)
+    close = near.join(members(sets, sig, k + 1), "b")
     w = Window.partitionBy("a").orderBy("distance", "peer_ord")
-    top = every.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * k + 2).select("a", "peer", "peer_ord", "distance")
-    mine = own.select("id", F.col("sig").alias("a")).join(top, "a").filter("id <> peer")
+    top = close.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("a", "peer", "peer_ord", "distance")
+    mine = sets.join(sig, "f").select("id", F.col("first").alias("a")).join(top, "a").filter("id <> peer")
     w = Window.partitionBy("id").orderBy("distance", "peer_ord")
-    return mine.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "peer", "rank", "distance")
+    return cut(mine.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "peer", "rank", "distance"))
 
 
 def knn_summary(found: DataFrame) -> DataFrame:
@@ -126,14 +189,16 @@ def neighborhood(g: Graph, start: str, hops: int = 1) -> DataFrame:
     return seen
 
 
-def rates(found: DataFrame, owned: DataFrame) -> DataFrame:
-    """id, value, rate, votes: the share of each record's peers that have a value, for every value, zeros included.
+def rates(found: DataFrame, owned: DataFrame, values: list[str] | None = None) -> DataFrame:
+    """id, value, rate, votes: the share of each record's peers that have a value, for every value (or those named), zeros included.
 
     `found` are neighbours (id, peer), `owned` distinct pairs (id, value).
     """
+    if values is not None:
+        owned = owned.filter(F.col("value").isin(values))
     votes = found.join(owned.select(F.col("id").alias("peer"), "value"), "peer").groupBy("id", "value").agg(F.count("*").alias("votes"))
     peers = found.groupBy("id").agg(F.count("*").alias("peers"))
-    catalogue = sorted(r["value"] for r in owned.select("value").distinct().collect())  # the distinct target values
+    catalogue = sorted(values if values is not None else (r["value"] for r in owned.select("value").distinct().collect()))  # the distinct target values, which name columns
     grid = peers.withColumn("value", F.explode(F.array(*map(F.lit, catalogue)))) if catalogue else peers.withColumn("value", F.lit("")).limit(0)
     n = F.coalesce("votes", F.lit(0))
     return grid.join(votes, ["id", "value"], "left").select("id", "value", (n / F.col("peers")).alias("rate"), n.alias("votes"))
@@ -173,10 +238,14 @@ def co_occurrence(owned: DataFrame, min_support: int = 5, outcome: DataFrame | N
 def ml_matrix(g: Graph, found: DataFrame, owned: DataFrame, etypes: list[str], values: list[str]) -> DataFrame:
     """One row a record: degrees, degrees by type (NULL where none), peer rates of each value, mean and least distance."""
     base = structure.degrees(g).select("id", "degree", "unique_neighbors")
-    r = rates(found, owned).groupBy("id").pivot("value", values).agg(F.first("rate"))
-    r = r.select("id", *(F.col(f"`{v}`").alias(f"rate_{v}") for v in values))
-    d = knn_summary(found).select("id", "avg_distance", "min_distance")
-    return base.join(structure.degree_by_type(g, etypes), "id", "left").join(r, "id", "left").join(d, "id", "left")
+    return base.join(structure.degree_by_type(g, etypes), "id", "left").join(peer_rates(found, owned, values), "id", "left")
+
+
+def peer_rates(found: DataFrame, owned: DataFrame, values: list[str]) -> DataFrame:
+    """id, avg_distance, min_distance and rate_<value> for each value: one aggregation over peers, whose values are marked first."""
+    has = owned.filter(F.col("value").isin(values)).groupBy(F.col("id").alias("peer")).agg(*(F.max((F.col("value") == v).cast("int")).alias(f"has_{i}") for i, v in enumerate(values))) if values else None
+    each = found.join(has, "peer", "left") if values else found
+    return each.groupBy("id").agg(F.avg("distance").alias("avg_distance"), F.min("distance").alias("min_distance"), *(F.avg(F.coalesce(F.col(f"has_{i}"), F.lit(0)).cast("double")).alias(f"rate_{v}") for i, v in enumerate(values)))
 
 
 def ml_labels(records: DataFrame, owned: DataFrame, values: list[str]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.operators import build as b
-from graphloom.operators import structure
+from graphloom.operators import similar, structure
+from graphloom.plans.lineage import cut
 
 
 def _snapshots(events: DataFrame, dates: list[str]) -> DataFrame:
@@ -90,14 +91,15 @@ def known_nodes(f: Frozen, new: DataFrame) -> DataFrame:
 
 def peers(f: Frozen, new: DataFrame) -> DataFrame:
     """id, peer, rank, distance of the k frozen records nearest to each new one by Jaccard distance of feature nodes."""
-    known = known_nodes(f, new).select("id", "n").distinct()
-    records = f.graph.nodes.filter("is_record").select(F.col("id").alias("peer"), "ord")
-    have = f.graph.adjacency().select(F.col("src").alias("peer"), F.col("dst").alias("n")).join(records.select("peer"), "peer", "left_semi").join(f.graph.nodes.filter("is_record").select(F.col("id").alias("n")), "n", "left_anti")
-    na, nb = known.groupBy("id").agg(F.count("*").alias("na")), have.groupBy("peer").agg(F.count("*").alias("nb"))
-    both = known.join(have, "n").groupBy("id", "peer").agg(F.count("*").alias("s")).join(na, "id").join(nb, "peer").join(records, "peer")
-    d = both.withColumn("distance", 1.0 - F.col("s") / (F.col("na") + F.col("nb") - F.col("s")))
-    w = Window.partitionBy("id").orderBy("distance", "ord")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= f.k).select("id", "peer", "rank", "distance")
+    sets = similar.neighbour_sets(f.graph, features_only=True)
+    sig = cut(similar.signatures(sets))
+    known = known_nodes(f, new).groupBy("id").agg(F.sort_array(F.collect_set(F.xxhash64("n"))).alias("f"))
+    mine = cut(known.withColumn("a", F.xxhash64("f")))  # new records of equal features are one question
+    near = similar.nearest(mine.select("a", "f").dropDuplicates(["a"]), sig.select(F.col("first").alias("b"), "f"), f.k, sharing=True)
+    close = near.join(similar.members(sets, sig, f.k), "b")
+    w = Window.partitionBy("a").orderBy("distance", "peer_ord")
+    top = close.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= f.k)
+    return cut(mine.select("id", "a").join(top, "a").select("id", "peer", "rank", "distance"))
 
 
 def score_batch(f: Frozen, new: DataFrame, owned: DataFrame, found: DataFrame | None = None) -> DataFrame:
