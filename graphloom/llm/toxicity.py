@@ -5,14 +5,21 @@ parts of 4, 5 and 6 bytes, hashed to a fixed number of buckets.  The machine add
 to a weight for each term, an inner product of learned factors for each pair of
 terms in a text, so that words that are harmless alone can count together.
 
-Fitting uses a bounded sample of labelled rows, `max_rows`, those least by hash.
+Which terms enter is tested twice: terms whose own rate of label 1 departs from the mean
+(at most `kept`, strongest first), and pairs of terms whose joint odds depart from the product of
+their own odds, whatever each of them tells alone; all terms of such pairs enter.
+
+Fitting uses a bounded sample of labelled rows, `max_rows` and at most `max_terms` terms of
+them, those least by hash; the pair test takes `pair_rows` of either label from the sample.
 Scoring reads every whole text once and shuffles nothing.
 
-Cases: a null or empty text has no terms and gets the score of the bias; a null
-id keeps its row, is not held out and is never learned from; of repeated labels
+Cases: a null or empty text has no terms and gets the score of the bias; a text of any
+length is scored whole, each term once; equal scores of the sample are never parted by the
+threshold; a null id keeps its row, is not held out and is never learned from; of repeated labels
 for one id the larger counts; labels other than 0 and 1 are not learned from;
-without any label the score is a constant 0.5 - 1e-6; empty documents give
-an empty result; further columns are ignored by `score`.
+without any label the score is a constant 0.5 - 1e-6; repeated documents are scored alike, and
+learned from once each; empty documents give an empty result; further columns, whatever they
+are called, are ignored by `score` and kept by `reject`.
 """
 
 from __future__ import annotations
@@ -23,11 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.shared import map_arrow, remainder, texts
+from graphloom.llm.shared import map_arrow, remainder, texts, written
 
 BITS = 20
 FOLDS = 5
@@ -82,8 +89,54 @@ def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096, rank: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adagrad on the log loss; the terms kept are those whose rate of label 1 departs most from the mean."""
+def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.ndarray, rows: int, least: float = 8.0, block: int = 512) -> np.ndarray:
+    """Terms of all pairs that have label 1 `least` standard errors more or less often than the product of their own odds would have it.
+
+    Of terms that one in a hundred texts (and three) have, on up to `rows` texts of either label.
+    """
+    n = len(label)
+    often = np.flatnonzero((df >= max(3, n // 100)) & (df < n))
+    at = np.full(1 << BITS, -1, np.int32)
+    at[often] = np.arange(len(often))
+    place = np.full(n, -1, np.int64)
+    kinds = [np.flatnonzero(label == y)[:rows] for y in (1, 0)]
+    if not len(often) or min(map(len, kinds)) == 0:
+        return often[:0]
+    place[kinds[0]], place[kinds[1]] = np.arange(len(kinds[0])), len(kinds[0]) + np.arange(len(kinds[1]))
+    use = (at[bucket] >= 0) & (place[doc] >= 0)
+    term, row = at[bucket[use]], place[doc[use]]
+    order = np.argsort(term, kind="stable")
+    term, row = term[order], row[order]
+    n1, n0 = map(len, kinds)
+
+    def dense(i: int) -> np.ndarray:
+        a, b = np.searchsorted(term, [i, i + block])
+        x = np.zeros((n1 + n0, min(block, len(often) - i)), np.float32)
+        x[row[a:b], term[a:b] - i] = 1
+        return x
+
+    one, none = np.bincount(term[row < n1], minlength=len(often)), np.bincount(term[row >= n1], minlength=len(often))
+    own = (np.log((one + 0.5) / (n1 + 1)) - np.log((none + 0.5) / (n0 + 1))).astype(np.float32)
+    lean = np.float32(np.log(n0 / n1))
+    told = np.zeros(len(often), bool)
+    for i in range(0, len(often), block):
+        x = dense(i)
+        for j in range(i, len(often), block):
+            y = x if i == j else dense(j)
+            c1, c0 = x[:n1].T @ y[:n1], x[n1:].T @ y[n1:]
+            m = c1 + c0
+            p = 1 / (1 + np.exp(np.clip(lean - own[i : i + block, None] - own[None, j : j + block], -30, 30)))
+            z = (c1 - m * p) / np.sqrt(m * p * (1 - p) + 1)
+            if i == j:
+                np.fill_diagonal(z, 0)
+            hit = np.abs(z) > least
+            told[i : i + block] |= hit.any(1)
+            told[j : j + block] |= hit.any(0)
+    return often[told]
+
+
+def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096, pair_rows: int = 4000, rank: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Adagrad on the log loss, over terms that tell alone or in pairs."""
     n = len(label)
     prior = float(label.mean()) if n else 0.0
     none = Machine(np.zeros(0, np.int64), float(np.log(min(max(prior, 1e-6), 0.5 - 1e-6) / (1 - min(max(prior, 1e-6), 0.5 - 1e-6)))) if n else -4e-6, np.zeros(0), np.zeros((0, rank)))
@@ -95,7 +148,8 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
     pos = np.bincount(bucket[label[doc] > 0], minlength=1 << BITS)
     z = (pos - prior * df) / np.sqrt(df * prior * (1 - prior) + 1)
     use = np.flatnonzero((df >= min(3, 1 + n // 100)) & (np.abs(z) > 2.5))
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")][:kept])
+    use = use[np.argsort(-np.abs(z[use]), kind="stable")][:kept]
+    use = np.union1d(use, pair_terms(doc, bucket, label, df, pair_rows))
     at = np.full(1 << BITS, -1, np.int32)
     at[use] = np.arange(len(use))
     keep = at[bucket] >= 0
@@ -149,8 +203,8 @@ def _cut(z: np.ndarray, label: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, folds: int = FOLDS, doc: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Machine:
-    """Fits on at most `max_rows` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, max_terms: int = 1 << 25, folds: int = FOLDS, doc: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Machine:
+    """Fits on at most `max_rows` labelled rows and `max_terms` terms outside the held-out fold."""
     known = labels.select(F.col(doc).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter((remainder("doc_id", folds) > 0) & F.col("y").isin(0, 1))
     sample = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = texts(docs, doc, text).join(F.broadcast(sample), "doc_id")  # at most max_rows pairs of numbers
@@ -162,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, folds: int
             cut = np.searchsorted(owner, np.arange(b.num_rows + 1)).tolist()
             yield pa.record_batch([tc.column(b, "doc_id"), tc.column(b, "y"), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "y", "terms"])
 
-    t = map_arrow(chosen, run, "doc_id long, y int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")]).combine_chunks()
+    made = written(map_arrow(chosen, run, "doc_id long, y int, terms binary"))
+    so_far = F.sum(F.octet_length("terms") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "terms"))  # over at most max_rows rows
+    t = made.select("*", so_far.alias("so_far")).filter(F.col("so_far") <= max_terms).drop("so_far").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")]).combine_chunks()
     if not t.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), **options)
     label = t["y"].to_numpy().astype(float)
