@@ -4,9 +4,10 @@ Every rule is evaluated once for each document.  The ledger keeps one bit a rule
 and the measurements behind it, so a policy (a named mask of bits) is applied, or
 another one compared, by integer operations without reading a text again.
 
-Cases: a null or empty text has no words and fails `few_words`; a null id keeps
-its row; repeated rows are judged alike; an empty table gives an empty ledger;
-further columns are ignored by `ledger`.
+Cases: a null or empty text has no words and fails `few_words`; a text of any length is measured
+whole; measurements exactly at a rule's bound pass it; a null id keeps its row; repeated rows are
+judged alike; an empty table gives an empty ledger; further columns, whatever they are called, are ignored
+by `ledger` and kept by `accept`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from graphloom.llm import textcore as tc
 from graphloom.llm.shared import map_arrow, texts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaims", "n_digits")
-#: Bit, name, and when it fails, in the measurements; one and the same text serves Spark and the checking SQL.
+#: Bit, name, and when it fails, in the measurements; one and the same text serves the ledger and the checking SQL.
 RULES = (
     (0, "few_words", "n_words < 10"),
     (1, "repeated_words", "100 * n_repeat_words > 20 * n_words"),
@@ -100,23 +101,26 @@ def ledger(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, off in tc.slices(batches):
             m = measure(buf, off)
-            yield pa.record_batch([tc.column(b, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], names=["doc_id", *MEASURES])
+            yield pa.record_batch([tc.column(b, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in MEASURES), pa.array(failed(m))], names=["doc_id", *MEASURES, "failed_bits"])
 
-    rows = map_arrow(texts(docs, doc, text), run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES))
-    return rows.withColumn("failed_bits", F.expr(bits_sql()).cast("long"))
+    return map_arrow(texts(docs, doc, text), run, "doc_id long, " + ", ".join(f"{k} long" for k in (*MEASURES, "failed_bits")))
+
+
+def failed(m: dict[str, np.ndarray]) -> np.ndarray:
+    """The failure bits of measured documents."""
+    bits = np.zeros(len(m["n_words"]), np.int64)
+    for bit, _, when in RULES:
+        bits |= np.where(eval(when, {}, m), 1 << bit, 0)  # one of RULES, not data
+    return bits
 
 
 def accept(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The documents, all columns, that pass the base rules and the policy."""
-    rules = [(bit, when) for bit, _, when in RULES if (POLICIES[policy] | BASE) >> bit & 1]
+    """The documents, all columns, whose failure bits the base rules' and the policy's masks leave empty."""
+    mask = POLICIES[policy] | BASE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, off in tc.slices(batches, text=text):
-            m = measure(buf, off)
-            bad = np.zeros(b.num_rows, bool)
-            for _, when in rules:
-                bad |= eval(when, {}, m)  # one of RULES, not data
-            yield b.filter(pa.array(~bad))
+            yield b.filter(pa.array(failed(measure(buf, off)) & mask == 0))
 
     return docs.mapInArrow(run, docs.schema)
 

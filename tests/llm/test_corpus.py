@@ -188,6 +188,37 @@ def test_toxicity(spark, docs, empty):
     assert {round(r["score"], 3) for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores of the query's rule recomputed from the machine, one document and one pair of terms at a time."""
+    r = random.Random(4)
+    data = [(i, " ".join(["Bad!"] * (i % 3 == 0) + [r.choice(VOCAB) for _ in range(30)])) for i in range(150)] + [(200, None), (201, ""), (202, LONG[:4000]), (200, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    m = toxicity.train(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int"))
+    at = {b: k for k, b in enumerate(m.buckets.tolist())}
+
+    def one(word):
+        return toxicity.terms(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0].tolist()
+
+    for row in toxicity.score(d, m).collect():
+        x = dict(data)[row["doc_id"]] or ""
+        t = sorted({at[b] for w in SPLIT.findall(x) for b in one(w) if b in at})
+        z = m.bias + sum(m.weight[i] for i in t) + sum(float(m.factor[i] @ m.factor[j]) for k, i in enumerate(t) for j in t[:k])
+        assert abs(row["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9 and row["n_terms"] == len(t)
+
+
+def test_pairs_that_are_harmless_alone():
+    r = np.random.default_rng(1)
+    a, b = r.random(4000) < 0.5, r.random(4000) < 0.5
+    sets = [sorted({*r.integers(100, 400, 20).tolist(), *([1] * x), *([2] * y)}) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    doc, term = np.repeat(np.arange(4000), [len(s) for s in sets]), np.concatenate(sets)
+    m = toxicity.fit(doc, term, (a ^ b).astype(float))
+    at = np.full(1 << toxicity.BITS, -1)
+    at[m.buckets] = np.arange(len(m.buckets))
+    k = at[term]
+    assert ((m.score(doc[k >= 0], k[k >= 0], 4000) >= 0.5) == (a ^ b)).mean() > 0.99
+    assert not len(toxicity.pair_terms(doc, term, r.permutation((a ^ b).astype(float)), np.bincount(term, minlength=1 << toxicity.BITS), 4000))
+
+
 def near_by_hand():
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     texts = {i: x for i, x, *_ in ROWS if i is not None and SPLIT.findall(x or "")}
@@ -378,43 +409,57 @@ def test_training_lowers_the_loss():
     assert attention.train(m, w, classes, 41, epochs=40) < 1.2 < before
 
 
-def test_chat(spark):
+def _chat_sql(data):
     import duckdb
 
-    data = [(1, 0, "system", "be"), (1, 1, "ann", "hi é"), (1, 2, "bob", None), (1, 2, "ann", "x"), (1, 2, "ann", "x"), (1, 200, "cid", "late"), (None, 0, "ann", "lost"), (2, None, "bob", "when"), (2, 1, None, "who"), (3, 0, "system", "only")]
-    df = spark.createDataFrame([(*x, 1) for x in data], "conv_id long, turn long, role string, text string, mask int")
-    got = chat.rotate(df)
     c = duckdb.connect()
     c.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     c.executemany("insert into conversations values (?, ?, ?, ?)", data)
     cur = c.execute(chat.SQL)
-    names = [x[0] for x in cur.description]
-    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(cur.fetchall(), key=str)
-    r = got.filter("conv_id = 1 and perspective = 'ann' and part = 0").first()
+    return [x[0] for x in cur.description], sorted(cur.fetchall(), key=str)
+
+
+def _rendered(said, me):
+    """One dialogue and the ranges to learn from, message by message."""
+    out, mask = "", []
+    for _, role, x in said:
+        who = "system" if role == "system" else "assistant" if role == me else "user" if role is None else f"user name={role}"
+        out += f"<|im_start|>{who}\n"
+        if role == me:
+            mask.append(f"{len(out)}-{len(out) + len(x or '') + 10}")
+        out += f"{x or ''}<|im_end|>\n"
+    return out, ",".join(mask)
+
+
+def test_chat(spark):
+    data = [(1, 0, "system", "be"), (1, 1, "ann", "hi é"), (1, 2, "bob", None), (1, 2, "ann", "x"), (1, 2, "ann", "x"), (1, 200, "cid", LONG), (None, 0, "ann", "lost"), (2, None, "bob", "when"), (2, 1, None, "who"), (3, 0, "system", "only")]
+    df = spark.createDataFrame([(*x, 1) for x in data], "conv_id long, turn long, role string, text string, mask int")
+    got = chat.rotate(df)
+    names, want = _chat_sql(data)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == want
+    r = got.filter("conv_id = 1 and perspective = 'ann'").first()
     for span in r["mask"].split(","):
         a, b = map(int, span.split("-"))
         assert r["text"][a:b] in ("hi é<|im_end|>", "x<|im_end|>")
     assert chat.rotate(df.limit(0)).count() == 0
-    many = spark.createDataFrame([(1, 0, "ann", f"t{i}") for i in range(50)], "conv_id long, turn long, role string, text string")
-    assert sum(r["n_messages"] for r in chat.rotate(many, limit=10).collect()) == 50 and chat.rotate(many, limit=10).count() > 1
 
 
-def test_a_large_part_keeps_its_order(spark):
+def test_a_dialogue_in_parts_is_whole(spark, monkeypatch):
+    """A third of all messages in one conversation, parts and their sums smaller than it; the parts together against one rendering."""
+    monkeypatch.setattr(chat, "SUPER", 3)
     r = random.Random(8)
-    data = [(c, r.choice([None, *range(70)]), r.choice(["ann", "bob", "system", None]), f"t{r.random()}") for c in (1, None) for _ in range(300)] + [(2, 0, "ann", "only")]
+    low = lambda x: (x is not None, "" if x is None else x)
+    data = [(c, r.choice([None, *range(70)]), r.choice(["ann", "bob", "system", None, "zoë"]), f"t{r.random()}") for c in (1, None) for _ in range(300)] + [(i, 0, "ann", "only") for i in range(2, 300)]
     got = chat.rotate(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5), limit=25).collect()
-    low = lambda x: (x is not None, x or 0) if not isinstance(x, str) else (True, x)
-    parts = collections.defaultdict(list)
-    for c, t, role, x in data:
-        parts[c, None if t is None else t // 64].append((low(t), (role is not None, role or ""), x))
-    want = {}
-    for (c, p), said in parts.items():
-        said = [x for *_, x in sorted(said)]
-        for k in range(0, len(said), 25):
-            want[c, p, k // 25] = said[k : k + 25]
-    assert len(want) > 20 and {(g["conv_id"], g["part"], g["sub"]) for g in got} == set(want)
-    for g in got:
-        assert re.findall(r"\n(t[\d.e-]+|only)<", g["text"]) == want[g["conv_id"], g["part"], g["sub"]]
+    whole = collections.defaultdict(list)
+    for g in sorted(got, key=lambda g: g["part"]):
+        whole[g["conv_id"], g["perspective"]].append(g)
+    assert len(got) > 90 and set(whole) == {(c, m) for c in (1, None) for m in ("ann", "bob", "zoë")} | {(i, "ann") for i in range(2, 300)}
+    for (c, me), parts in whole.items():
+        said = sorted(((t, role, x) for k, t, role, x in data if k == c), key=lambda m: ((m[0] is not None, m[0] or 0), low(m[1]), m[2]))
+        text, mask = _rendered(said, me)
+        assert "".join(p["text"] for p in parts) == text and ",".join(filter(None, (p["mask"] for p in parts))) == mask
+        assert [p["start"] for p in parts] == [0, *np.cumsum([p["n_chars"] for p in parts])[:-1]] and all(p["n_messages"] <= 25 for p in parts)
 
 
 def test_neighbours(spark, empty):
@@ -442,6 +487,21 @@ def test_neighbours(spark, empty):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_enters_buckets():
+    """At the fitted radius probes meet a part of the rows, and nearly all true neighbours."""
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(40, 64))
+    x = centre[r.integers(0, 40, 9000)] + r.normal(size=(9000, 64))
+    coder = neighbours.fit(x[::3])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    codes = coder.codes(unit)
+    index, hits = neighbours.MultiIndex(codes, coder), 0
+    for q in range(0, 9000, 90):
+        s = unit @ unit[q]
+        hits += len(set(np.argsort(-s)[1:6].tolist()) & set(index.within(codes[q], coder.radius, coder.far).tolist()))
+    assert index.met < 0.5 * 100 * 9000 and hits >= 0.95 * 500
+
+
 def test_radius_reaches_past_a_group_of_the_lowest_ids():
     r = np.random.default_rng(12)
     x = np.concatenate([r.normal(size=32) + 1e-3 * r.normal(size=(600, 32)), r.normal(size=(1200, 32))])
@@ -450,9 +510,10 @@ def test_radius_reaches_past_a_group_of_the_lowest_ids():
     rest = np.arange(600, 1800, 7)
     s = unit[rest] @ unit.T
     s[np.arange(len(rest)), rest] = -9
-    dist = neighbours.distances(coder.codes(unit[rest]), coder.codes(unit))
-    own = np.take_along_axis(dist, np.argsort(-s, 1)[:, :5], 1)
-    assert (own <= coder.radius).mean() > 0.95
+    codes = coder.codes(unit)
+    index = neighbours.MultiIndex(codes, coder)
+    met = [len(np.intersect1d(index.within(codes[i], coder.radius, coder.far), np.argsort(-s[k])[:5])) for k, i in enumerate(rest)]
+    assert np.mean(met) > 0.95 * 5
 
 
 def test_multi_index_probing_meets_all():
