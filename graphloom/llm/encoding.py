@@ -2,7 +2,7 @@
 
 Cases: a null or empty text has no ids and decodes to an empty text; a null id
 keeps its row; repeated rows are encoded once each; an empty table gives an
-empty result with the same columns; further columns are not carried along.
+empty result with the same columns; a text of any length is encoded whole (long pieces by a heap); further columns are not carried along.
 """
 
 from __future__ import annotations

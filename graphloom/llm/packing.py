@@ -10,7 +10,8 @@ window a partition.  The final remainder is cut at powers of two, which are not
 padded.
 
 Cases: a null text counts as empty and still has its end id; a null doc_id
-packs like any other; repeated rows are packed once each; an empty table gives no
+packs like any other; repeated rows are packed once each; a text of any length is cut into full windows; of equally
+roomy windows the first opened is taken; an empty table gives no
 rows; further columns are not carried along.
 """
 

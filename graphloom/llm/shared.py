@@ -20,9 +20,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests on one machine) one is made and set."""
+    """A new folder under spark.checkpoint.dir.  Where that is unset, one is made only for a session on one machine; a cluster would lose it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -88,3 +90,12 @@ def texts(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
+
+
+SALTS = 16
+
+
+def salted(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with `one` (a single row for each key) under SALTS keys for each, drawn from `by`: the rows of a hot key are not one task's."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return left.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "__salt"]).drop("__salt")

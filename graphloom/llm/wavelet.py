@@ -6,7 +6,7 @@ the ids stably by its bit for the next.  Counts of ones before every block of
 in a range and the place of its k-th occurrence are found from the planes alone.
 
 Cases: a null text counts as empty and still has its end id; null ids come first;
-repeated rows are kept, ordered by text; an empty table writes no file and gives
+repeated rows are kept, ordered by text; a text of any length is whole in one shard; an empty table writes no file and gives
 no rows; further columns are not carried along.
 """
 

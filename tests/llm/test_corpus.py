@@ -266,6 +266,26 @@ def test_large_components_are_parted(monkeypatch, spark):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {11}
 
 
+@pytest.mark.parametrize("loose", [0.0, 0.3])
+def test_a_hot_band_and_the_exact_way(spark, monkeypatch, loose):
+    """A third of all texts share a line and so bands; links and classes against all pairs, with large components parted or not."""
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    r = random.Random(21)
+    line, made = [r.choice(VOCAB) + str(i) for i in range(40)], []
+    for i in range(90):
+        own = [r.choice(VOCAB) + str(r.randrange(10**6)) for _ in range(20)]
+        made.append((i, " ".join(line + own if i % 3 == 0 else own * 2)))
+    sets = {i: collections.Counter(zip(w, w[1:], w[2:])) for i, w in ((i, t.lower().split()) for i, t in made)}
+    links = collections.Counter()
+    for i in sets:
+        for j in sets:
+            both, every = sum((sets[i] & sets[j]).values()), sum((sets[i] | sets[j]).values())
+            links[i] += i != j and both >= 0.45 * every
+    got = {x["doc_id"]: x for x in neardup.classes(spark.createDataFrame(made, "doc_id long, text string"), loose=loose).collect()}
+    assert {i: x["n_links"] for i, x in got.items()} == {i: links[i] for i in sets}
+    assert all(x["class_id"] == (0 if i % 3 == 0 else i) for i, x in got.items())
+
+
 def test_registers_estimate_similarity():
     e = tc.mix(np.arange(1, 301, dtype=np.uint64))
     a, b = e[:200], e[100:300]
@@ -527,6 +547,75 @@ def test_multi_index_probing_meets_all():
             assert (index.within(codes[q], radius) == want).all()
 
 
+def test_clashing_columns(spark):
+    """Columns with the names that operators use on their way, with Spark's own hidden one, and one that differs in case only from another."""
+    ddl = "doc_id long, text string, `_metadata` string, `__from_file` string, `__from_row` long, terms string, block long, `__salt` int"
+    data = [(i, t, "m", "f", 1, "t", 2, 3) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(data, ddl)
+    cut = substring.dedup_text(df)
+    assert cut.columns == df.columns and cut.count() == len(data) and {r["_metadata"] for r in cut.collect()} == {"m"}
+    kept = neardup.first_of_class(df)
+    assert kept.columns == df.columns and 0 < kept.count() < len(data)
+    assert quality.accept(df).columns == df.columns and toxicity.reject(df, toxicity.train(df, df.select("doc_id", df["__salt"].alias("toxic")))).columns == df.columns
+    assert scoring.score(df, WORDS).count() == neardup.classes(df).count() == substring.dedup(df).count() == packing.pack(df, WORDS).select("doc_id").distinct().count() == len(data)
+
+
+def test_queries_return_their_contract(spark, tmp_path):
+    """Every registered query on small tables: names, types, and the columns that a query derives."""
+    from graphloom.llm import queries
+
+    r = random.Random(2)
+    base = [(i, f"{words(30)} {'idiot' * (i % 4 == 0)}", "en", "s", 1) for i in range(60)] + [(60, None, None, None, None), (61, "", "en", "s", 0)]
+    spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, i, "ann", "x") for i in range(4)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(i, [r.random() - 0.5 for _ in range(16)], 0) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {
+        "op1_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op2_neardup": "doc_id bigint, class_id bigint, n_links bigint",
+        "op3_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+        "op4_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+        "op5_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op6_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op7_wavelet": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op8_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "op9_chat": "conv_id bigint, perspective string, text string, mask string",
+        "op10_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    }
+    got = queries.queries()
+    assert set(got) == set(want)
+    for name, ddl in want.items():
+        df = got[name](spark, str(tmp_path))
+        kinds, out = dict(df.dtypes), df.collect()
+        assert all(kinds[c] == k for c, k in (x.split() for x in ddl.split(", "))), name
+        if name == "op10_neighbours":
+            assert len(out) == 15
+        elif name == "op9_chat":
+            assert len(out) == 1
+        else:
+            assert {x["doc_id"] for x in out} == set(range(62)), name
+        if name == "op1_toxicity":
+            assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) and x["predicted"] == (x["score"] >= 0.5) for x in out)
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_stages_on_empty_and_awkward_tables(spark, tmp_path, rows):
+    """Each stage alone: no rows; null texts and ids, ties, a very long text, and columns of clashing names, all of which stay."""
+    import corpus_pipeline
+
+    data = [(1, LONG, "en", None, None, "m", 1), (2, LONG, "en", "s", 1, "m", 2), (None, None, None, None, None, None, None)][:rows]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, `_metadata` string, block long"
+    spark.createDataFrame([(1, 1, 0)][:rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(data, ddl)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        n = out.count()
+        assert n == 0 if not rows else n == {"toxicity": 3, "quality": n, "near duplicates": 2, "repeated passages": 3, "packing": n}[name], name
+        assert stage.__doc__
+
+
 def test_pipeline(spark, tmp_path):
     """The stages against the same decisions made one document at a time."""
     import corpus_pipeline
