@@ -54,6 +54,20 @@ class Graph:
         e = self.edges.select("src", "dst")
         return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
+    def __len__(self) -> int:
+        return self.nodes.count()
+
+    def __contains__(self, name: str) -> bool:
+        """Whether a node has this id or label, or an entity this name."""
+        return not resolve(self.nodes, name).isEmpty()
+
+    def __iter__(self):
+        """Ids of the records in order, fetched a partition at a time."""
+        return (r["id"] for r in self.nodes.filter("is_record").orderBy("ord").select("id").toLocalIterator())
+
+    def __repr__(self) -> str:
+        return f"Graph({len(self)} nodes, {self.edges.count()} edges{', frozen' if self.frozen else ''})"
+
     def adjacency(self) -> DataFrame:
         """Distinct neighbour pairs, both ways."""
         return self.ends().distinct()
@@ -173,6 +187,83 @@ def add_relationship(g: Graph, source: str, etype: str, target: str, weight: flo
     return Graph(nodes, upsert(g.edges.unionByName(edge)), g.config)
 
 
+def add_similarity(g: Graph, vecs: DataFrame, threshold: float = 0.7) -> Graph:
+    """The graph with SIMILAR_TO edges between records whose vectors (id, embedding) have at least this cosine, which is their weight."""
+    from graphloom.operators.similar import similar_pairs
+
+    records = g.nodes.filter("is_record").select("id", "ord")
+    at = cut(vecs.join(records, "id").select(F.col("ord").alias("vec_id"), "embedding", "id"))
+    pairs = similar_pairs(at.select("vec_id", "embedding"), threshold)
+    name = lambda side: at.select(F.col("vec_id").alias(side), F.col("id").alias(f"id_{side}"))
+    found = pairs.join(name("a"), "a").join(name("b"), "b")
+    edge = found.select(F.lit("SIMILAR_TO").alias("etype"), F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.round("weight", 4).alias("weight"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("outcome"), F.col("a").alias("ord"))
+    return Graph(g.nodes, g.edges.unionByName(edge), g.config, g.frozen)
+
+
+def build_with_similarity(df: DataFrame, c: Config, embed=None, threshold: float = 0.7) -> Graph:
+    """A build, then the text columns of each record, joined by spaces, embedded and linked where similar."""
+    from graphloom.operators.retrieval import hash_embedder
+
+    joined = F.concat_ws(" ", *(F.col(x) for x in c.text))
+    last = records(df, c).groupBy(F.col("_node").alias("id")).agg(F.max_by(joined, F.col(c.order_column)).alias("said"))
+    return add_similarity(build(df, c), last.filter(tx.strip(F.col("said")) != "").select("id", (embed or hash_embedder)(F.col("said")).alias("embedding")), threshold)
+
+
+def first_row_roles(df: DataFrame, id_column: str) -> dict[str, list[str]]:
+    """Roles by the first row alone: long strings are text, strings with commas lists, other strings categorical, numbers numeric."""
+    row, out = df.first(), {"categorical": [], "list": [], "numeric": [], "text": []}
+    for name, kind in df.dtypes:
+        value = row[name] if row else None
+        if name == id_column or value is None or isinstance(value, bool):
+            continue
+        if isinstance(value, str):
+            out["text" if len(value) > 100 else "list" if "," in value else "categorical"].append(name)
+        elif kind.split("(")[0] in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal"):
+            out["numeric"].append(name)
+    return out
+
+
+def build_from_config(df: DataFrame, settings: dict[str, Any]) -> Graph:
+    """A build from plain settings; `temporal_column` is another name of `time_column`, and unknown names are refused."""
+    known = dict(settings)
+    if "temporal_column" in known:
+        known.setdefault("time_column", known.pop("temporal_column"))
+        known.pop("temporal_column", None)
+    return build(df, Config(**known))
+
+
+def text_jobs(df: DataFrame, c: Config, column: str, job, min_chars: int = 20, max_chars: int = 2000) -> DataFrame:
+    """src, reply: a model's reply to the head of each record's text that is long enough.
+
+    Every partition works through its own rows, so as many calls are under way as there are running tasks;
+    a call that fails gives no reply.
+    """
+    rows = records(df, c).select(F.col("_node").alias("src"), F.col(column).cast("string").alias("text")).filter(F.length("text") >= min_chars)
+
+    def run(batches):
+        import pandas as pd
+
+        for p in batches:
+            out = []
+            for src, text in zip(p["src"], p["text"], strict=True):
+                try:
+                    out.append((src, job(text[:max_chars])))
+                except Exception:  # one failed call is one missing reply
+                    out.append((src, None))
+            yield pd.DataFrame(out, columns=["src", "reply"])
+
+    return rows.mapInPandas(run, "src string, reply string").filter("reply is not null")
+
+
+def add_relations(g: Graph, replies: DataFrame, weight: float = 0.8, confidence: float = 0.7) -> Graph:
+    """The graph with relations from replies (src, reply): JSON lists of {"target", "type"}; what does not parse adds nothing."""
+    each = replies.select("src", F.explode(F.from_json(tx.json_part(F.col("reply")), "array<struct<target:string,type:string>>")).alias("r")).filter("r.target is not null and r.type is not null")
+    edge = each.select("src", tx.node_id("entity", F.col("r.target")).alias("dst"), F.upper(F.regexp_replace("r.type", r"\s+", "_")).alias("etype"), F.lit(weight).alias("weight"), F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("outcome"), F.lit((1 << 62) - 1).alias("ord"), F.col("r.target").alias("label"))
+    new = edge.select(F.col("dst").alias("id"), F.lit("entity").alias("type"), "label", "ord", F.lit(False).alias("is_record"))
+    nodes = g.nodes.unionByName(new).groupBy("id").agg(F.min_by("type", "ord").alias("type"), F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"), F.bool_or("is_record").alias("is_record"))
+    return Graph(nodes, upsert(g.edges.unionByName(edge.drop("label"))), g.config)
+
+
 def quick_build(df: DataFrame, id_column: str | None = None, order_column: str | None = None, **options: Any) -> Graph:
     """Profiles, then builds with what the profile says."""
     from graphloom.operators import profile

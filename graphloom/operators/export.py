@@ -77,3 +77,29 @@ def to_html(g: Graph, title: str = "graph", **options) -> str:
     data = json.dumps(to_d3(g, **options)).replace("</", "<\\/")
     script = "const d=JSON.parse(document.getElementById('d').textContent);document.getElementById('n').innerHTML=d.nodes.map(n=>`<li style=\"color:${n.color}\">${n.label} (${n.degree})</li>`).join('')"
     return f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><ul id=n></ul><script id=d type=application/json>{data}</script><script>{script}</script>"
+
+
+class KnowledgeGraph:
+    """A graph with its exports as methods."""
+
+    def __init__(self, graph: Graph):
+        self.graph = graph
+
+    def to_cytoscape(self, **options) -> dict:
+        return to_cytoscape(self.graph, **options)
+
+    def to_d3_json(self, **options) -> str:
+        return json.dumps(to_d3(self.graph, **options))
+
+    def to_mermaid(self, **options) -> str:
+        return to_mermaid(self.graph, **options)
+
+    def to_graphml(self, **options) -> str:
+        return to_graphml(self.graph, **options)
+
+    def render_html(self, path: str | None = None, **options) -> str:
+        page = to_html(self.graph, **options)
+        if path:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(page)
+        return page

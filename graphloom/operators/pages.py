@@ -122,6 +122,20 @@ def elements(pages: DataFrame, selectors: list[str]) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, selector string, position int, text string")
 
 
+def extract(pages: DataFrame, completer, ddl: str, prompt: str = "Extract the fields from this page as JSON.", max_chars: int = 8000) -> DataFrame:
+    """page_id, url and a struct of what a model finds in each page's text; NULL where its reply does not parse."""
+    from graphloom.functions.text import json_part
+
+    def run(batches):
+        import pandas as pd
+
+        for p in batches:
+            yield pd.DataFrame({"page_id": p["page_id"], "reply": [completer(f"{prompt}\n\n{t[:max_chars]}") for t in p["text"]]})
+
+    replies = texts(pages).select("page_id", "text").mapInPandas(run, "page_id long, reply string")
+    return pages.select("page_id", "url").join(replies.select("page_id", F.from_json(json_part(F.col("reply")), ddl).alias("found")), "page_id")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, url, position, href of every link, in order of appearance."""
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)

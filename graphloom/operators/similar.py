@@ -267,7 +267,7 @@ def explain(g: Graph, found: DataFrame, owned: DataFrame, k: int = 5, min_rate:
     return peers.join(rec, "id", "left")
 
 
-def embedding_neighbours(queries: DataFrame, vecs: DataFrame, k: int = 5) -> DataFrame:
+def embedding_neighbours(queries: DataFrame, vecs: DataFrame, k: int = 5, exclude_self: bool = True) -> DataFrame:
     """For each row of `queries`, the k nearest of `vecs` by cosine, itself excluded: query_id, vec_id, distance, rank.
 
     Queries are a stated, bounded set; each meets all rows in blocks and keeps k from a block.
@@ -291,7 +291,7 @@ def embedding_neighbours(queries: DataFrame, vecs: DataFrame, k: int = 5) -> Dat
         rid, r = ids[~isq], x[~isq]
         for qid, qv in zip(ids[isq].tolist(), x[isq], strict=True):
             d = 1 - r @ qv
-            keep = rid != qid
+            keep = (rid != qid) | (not exclude_self)
             o = np.lexsort((rid[keep], np.round(d[keep], 12)))[:k]
             out[0] += [qid] * len(o)
             out[1] += rid[keep][o].tolist()
@@ -312,5 +312,19 @@ def context(g: Graph, rank: DataFrame, n: int = 10, connections: int = 10) -> Da
     return few.groupBy("id", tx.shorten(F.col("label"), 200).alias("label")).agg(F.sort_array(F.collect_list("name")).alias("connections"))
 
 
+def ask(g: Graph, question: str, complete, rank: DataFrame | None = None, n: int = 10) -> dict:
+    """An answer from the graph's context (n records at most), with the records it was given."""
+    rows = context(g, structure.pagerank(g) if rank is None else rank, n).collect()
+    lines = [f"{r['label']}: {', '.join(r['connections'])}" for r in rows]
+    return {"text": complete(question + "\n\n" + "\n".join(lines)), "entities": [r["label"] for r in rows]}
+
+
+def neighborhood_edges(g: Graph, start: str, hops: int = 1) -> DataFrame:
+    """Edges with an end less than `hops` from a node: src, dst, etype, each once."""
+    inner = neighborhood(g, start, hops - 1).select("id")
+    e = g.edges.select("src", "dst", "etype")
+    return e.join(inner.select(F.col("id").alias("src")), "src", "left_semi").unionByName(e.join(inner.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "etype")).distinct()
+
+
 def cosine_to(df: DataFrame, column: str, query: Column) -> DataFrame:
     return df.withColumn("score", vectors.cosine(F.col(column), query))

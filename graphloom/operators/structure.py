@@ -170,6 +170,40 @@ def pairwise(g: Graph, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", s.alias("shared"), F.when(union == 0, 0.0).otherwise(s / union).alias("jaccard"), F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"))
 
 
+def compute_features(g: Graph, etypes: list[str] | None = None, community: bool = True, resolution: float = 1.5, walks: bool = False) -> DataFrame:
+    """One row a record: degrees of all kinds, degrees by type (NULL where none), similarity counts, clustering, rank, and if asked communities and walk embeddings."""
+    g = g.kept()
+    out = degrees(g).join(degree_by_type(g, etypes), "id", "left").join(clustering(g), "id", "left").join(pagerank(g), "id", "left").fillna(0.0, ["pagerank"])
+    if community:
+        out = out.join(communities(g, resolution), "id", "left")
+    return out.join(walk_embeddings(g), "id", "left") if walks else out
+
+
+GROUPS = {"degree": r"(^|_)degree|unique_neighbors", "similarity": r"similar", "community": r"^community", "rank": r"pagerank|clustering", "peers": r"^rate_|_distance$", "embedding": r"embedding|^walk"}
+
+
+def feature_report(table: DataFrame, nodes: int | None = None) -> dict:
+    """Features by group with how many rows have each and its least, mean and greatest value; in one pass."""
+    import re
+
+    numeric = [c for c, t in table.dtypes if t in ("double", "float", "int", "bigint")]
+    got = table.agg(F.count("*").alias("n"), *(f(F.col(f"`{c}`")).alias(f"{i}_{k}") for i, c in enumerate(numeric) for k, f in (("count", F.count), ("min", F.min), ("mean", F.avg), ("max", F.max)))).first()
+    out: dict = {"entities": got["n"], "groups": {}, "warnings": []}
+    for i, c in enumerate(numeric):
+        group = next((k for k, p in GROUPS.items() if re.search(p, c)), "other")
+        out["groups"].setdefault(group, {})[c] = {k: got[f"{i}_{k}"] for k in ("count", "min", "mean", "max")}
+    if nodes and got["n"] < 0.5 * nodes and "pagerank" in numeric:
+        out["warnings"].append("ranks are spread over all nodes, of which fewer than half are records")
+    return out
+
+
+def print_report(report: dict) -> str:
+    lines = [f"{report['entities']} entities"]
+    for group, features in report["groups"].items():
+        lines += [f"{group}:", *(f"  {c}: {v['count']} rows, {v['min']} to {v['max']}, mean {v['mean']}" for c, v in features.items())]
+    return "\n".join([*lines, *report["warnings"]])
+
+
 def degenerate(found: DataFrame, least: int = 5) -> list[str]:
     """What is wrong with a set of communities, if anything."""
     n, groups = found.agg(F.count("*"), F.count_distinct(F.when(F.col("community_id") >= 0, F.col("community_id")))).first()

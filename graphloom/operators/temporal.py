@@ -54,6 +54,12 @@ def labels(events: DataFrame, dates: list[str], c: b.Config, label_column: str,
     return rows.agg(F.array_join(F.sort_array(F.collect_set(cell)), ",").alias("label"))
 
 
+def dataset(events: DataFrame, dates: list[str], c: b.Config, label_column: str, label_value: str, horizon: int = 180) -> DataFrame:
+    """snapshot, id, degree, n_events and label of every record known at each date; label 0 where nothing followed."""
+    y = labels(events, dates, c, label_column, label_value, horizon)
+    return features(events, dates, c).join(y, ["snapshot", "id"], "left").fillna(0, ["label"])
+
+
 @dataclass
 class Frozen:
     """A graph as it was: node and edge tables in a folder, with what scoring needs to agree with training."""
@@ -102,8 +108,16 @@ def peers(f: Frozen, new: DataFrame) -> DataFrame:
     return cut(mine.select("id", "a").join(top, "a").select("id", "peer", "rank", "distance"))
 
 
-def score_batch(f: Frozen, new: DataFrame, owned: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """Training's columns for new records: degree, degrees by type and rates over the frozen catalogue, 0 where absent."""
+def peer_communities(found: DataFrame, communities: DataFrame) -> DataFrame:
+    """id, community_id, community_size: the community that most peers are in, ties to the nearest peer's; -1 counts as size 0."""
+    at = found.join(communities.select(F.col("id").alias("peer"), "community_id", "community_size"), "peer")
+    votes = at.groupBy("id", "community_id").agg(F.count("*").alias("n"), F.min("rank").alias("near"), F.max("community_size").alias("size"))
+    best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "near", "community_id", "size")).alias("m"))
+    return best.select("id", F.col("m.community_id").alias("community_id"), F.when(F.col("m.community_id") >= 0, F.col("m.size")).otherwise(0).alias("community_size"))
+
+
+def score_batch(f: Frozen, new: DataFrame, owned: DataFrame, found: DataFrame | None = None, communities: DataFrame | None = None, with_peers: bool = False) -> DataFrame:
+    """Training's columns for new records: degree, degrees by type and rates over the frozen catalogue, 0 where absent; if asked, the peers' community and their ids, nearest first."""
     found = peers(f, new) if found is None else found
     known = known_nodes(f, new)
     ids = b.records(new, f.graph.config).select(F.col("_node").alias("id")).distinct()
@@ -112,7 +126,13 @@ def score_batch(f: Frozen, new: DataFrame, owned: DataFrame, found: DataFrame |
     n = found.groupBy("id").agg(F.count("*").alias("peers"), F.avg("distance").alias("avg_distance"), F.min("distance").alias("min_distance"))
     rates = votes.join(n, "id").groupBy("id").agg(*(F.coalesce(F.max(F.when(F.col("value") == v, F.col("v") / F.col("peers"))), F.lit(0.0)).alias(f"rate_{v}") for v in f.values)) if f.values else ids
     out = ids.join(degree, "id", "left").join(n.drop("peers"), "id", "left").join(rates, "id", "left")
-    return out.fillna(0)
+    if communities is not None:
+        out = out.join(peer_communities(found, communities), "id", "left").fillna(-1, ["community_id"])
+    out = out.fillna(0)
+    if with_peers:
+        near = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "peer"))).alias("p"))  # k at most
+        out = out.join(near.select("id", F.array_join(F.transform("p", lambda x: x["peer"]), ",").alias("knn_peers")), "id", "left")
+    return out
 
 
 def score_one(f: Frozen, new: DataFrame, owned: DataFrame) -> dict:

@@ -12,6 +12,7 @@ from graphloom.functions import text as tx
 from graphloom.operators import build, export, history, pages, profile, reference, retrieval, similar, structure, temporal
 from graphloom.plans import datasets as ds
 from graphloom.plans.datasets import read
+from graphloom.plans.lineage import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -212,7 +213,7 @@ def incremental_add(spark, d):
     return build.add_records(g, new).edges.select("src", "dst", "etype")
 
 
-@q()
+@q(r"with s as (select case when c_custkey % 2 = 0 then upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Inc.' else c_mktsegment end as alias from customer), n as (select alias, count(*) as n, trim(regexp_replace(regexp_replace(lower(alias), '[^a-z0-9 ]', '', 'g'), '\s+(inc|llc|ltd|corp|co|gmbh)$', '')) as key from s group by alias) select alias, first_value(alias) over (partition by key order by n desc, alias desc) as canonical from n qualify count(*) over (partition by key) >= 2")
 def auto_aliases(spark, d):
     c = read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.initcap("c_mktsegment"), F.lit(" Inc."))).otherwise(F.col("c_mktsegment")).alias("segment"))
     return build.auto_aliases(c, "segment")
@@ -309,21 +310,21 @@ def similarity_edges(spark, d):
     return similar.similar_pairs(read(spark, d, "embeddings"), 0.4).select("a", "b", F.round("weight", 4).alias("weight"))
 
 
-_HOP = f"""with {GRAPH}, dg as (select src as n, count(*) as d from adj group by src), s0 as (select id from rec where ord % 100 = 1),
+_HOP = f"""with {GRAPH}, dg as (select src as n, count(*) as d from adj group by src), s0 as (select id from rec where ord % 50 = 0),
 h as (select a.src as source, b.src as target, sum(0.5::double * {{w}} * case when d <= 1 then 1 else 1 / ln(d + 1) end) as score from edges a join s0 on s0.id = a.src join edges b on a.dst = b.dst and a.src <> b.src join dg on dg.n = a.dst group by 1, 2)
 select source, target, round(score, 6) as score, rank::int as rank from (select source, target, score, row_number() over (partition by source order by round(score, 9) desc, ord) as rank from h join rec on rec.id = target) where rank <= 5"""
 
 
 @q(_HOP.format(w="1"))
 def find_similar(spark, d):
-    g = ds.customer_graph(spark, d)
-    return similar.find_similar(g, g.nodes.filter("is_record and ord % 100 = 1").select("id")).select("source", "target", F.round("score", 6).alias("score"), "rank")
+    g = ds.customer_graph(spark, d).kept()
+    return similar.find_similar(g, g.nodes.filter("is_record and ord % 50 = 0").select("id")).select("source", "target", F.round("score", 6).alias("score"), "rank")
 
 
 @q(_HOP.format(w="case b.etype when 'HAS_NATION' then 3 else 1 end"))
 def find_similar_weighted(spark, d):
-    g = ds.customer_graph(spark, d)
-    return similar.find_similar(g, g.nodes.filter("is_record and ord % 100 = 1").select("id"), type_weights={"HAS_NATION": 3.0}).select("source", "target", F.round("score", 6).alias("score"), "rank")
+    g = ds.customer_graph(spark, d).kept()
+    return similar.find_similar(g, g.nodes.filter("is_record and ord % 50 = 0").select("id"), type_weights={"HAS_NATION": 3.0}).select("source", "target", F.round("score", 6).alias("score"), "rank")
 
 
 @q(f"with {GRAPH}, s as (select src, count(*)::double as score from edges where dst in ('segment:building', 'acctbal_range:small', 'priority:1-urgent') group by src) select src as target, score, row_number() over (order by score desc, ord)::int as rank from s join rec on rec.id = src qualify rank <= 5")
@@ -337,7 +338,7 @@ def neighborhood(spark, d):
 
 
 def _peers(spark, d, k):
-    return similar.knn(ds.customer_graph(spark, d), k), ds.brands(spark, d)
+    return similar.knn(ds.customer_graph(spark, d).kept(), k), ds.brands(spark, d)
 
 
 @q(f"with {GRAPH}, {KNN.format(k=3)}, {BRANDS}, v as (select knn.id, value, count(*) as votes from knn join owned on owned.id = peer group by 1, 2) select rec.id, c.value, round(coalesce(votes, 0) / 3::double, 6) as rate, coalesce(votes, 0) as votes from rec cross join (select distinct value from owned) c left join v on v.id = rec.id and v.value = c.value")
@@ -655,11 +656,13 @@ def similar_counts(spark, d):
     return out.agg(F.count("weight").alias("similar_count"), F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 5).alias("avg_similarity"), F.round(F.coalesce(F.max("weight"), F.lit(0.0)), 5).alias("max_similarity"))
 
 
-@q("with q as (select item_id as query_id, text as query from benchmark), t as (select query_id, query, doc_id, text from q join documents on doc_id % 40 = query_id), s as (select query_id, doc_id, len(list_intersect(list_distinct(" + TOKENS.format(x="query") + "), " + TOKENS.format(x="text") + "))::double / greatest(len(list_distinct(" + TOKENS.format(x="query") + ")), 1) as rerank_score from t) select query_id, doc_id, round(rerank_score, 6) as rerank_score, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as new_rank from s qualify new_rank <= 5")
+@q(f"with {_BM}, hits as (select query_id, doc_id, b.text as query, d.text, rank from bmr join benchmark b on b.item_id = query_id join documents d using (doc_id) where rank <= 10), s as (select query_id, doc_id, rank, len(list_intersect(list_distinct(" + TOKENS.format(x="query") + "), " + TOKENS.format(x="text") + "))::double / greatest(len(list_distinct(" + TOKENS.format(x="query") + ")), 1) as rerank_score from hits) select query_id, doc_id, round(rerank_score, 6) as rerank_score, row_number() over (partition by query_id order by rerank_score desc, rank)::int as new_rank from s qualify new_rank <= 5")
 def rerank(spark, d):
-    q_ = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("query_id"))
-    found = docs.join(q_, "query_id").withColumn("rank", F.col("doc_id"))
+    """The ten best keyword hits of every benchmark row among all documents, ranked again."""
+    q_ = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    hits = retrieval.bm25(q_, docs).select("query_id", "doc_id", "rank")
+    found = hits.join(docs, "doc_id").join(q_.withColumnRenamed("text", "query"), "query_id")
     return retrieval.rerank(found).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 
 
@@ -668,3 +671,55 @@ def concept_edges(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("doc_id").alias("ord"), "text")
     g = build.build(docs, build.Config("doc", "ord", text=["text"]))
     return g.edges.filter("etype = 'MENTIONS'").groupBy("src").agg(F.count("*").alias("mentions"))
+
+
+# compositions
+
+
+@q(f"with recursive {GRAPH}, dg as (select src, count(*) as d from adj group by src), links as (select adj.src, adj.dst, d from adj join dg on adj.src = dg.src), n as (select count(*)::double as n from dg), pr(step, id, pr) as (select 0, src, 1 / n from dg, n union all select p.step + 1, l.dst, 0.15::double / any_value(n.n) + 0.85::double * sum(p.pr / l.d) from pr p join links l on l.src = p.id, n where p.step < 20 group by p.step, l.dst), t as (select src as id, count(*) as degree, count(distinct dst) as unique_neighbors, count(*) filter (etype = 'HAS_PRIORITY') as pd from edges group by src) select t.id, degree, unique_neighbors, 0::bigint as degree_entity, 0::bigint as similar_count, 0::double as max_similarity, 0::double as clustering_coeff, nullif(pd, 0) as HAS_PRIORITY_degree, 1::bigint as HAS_NATION_degree, round(pr, 9) as pagerank from t join pr on pr.id = t.id where step = 20")
+def compute_features(spark, d):
+    f = structure.compute_features(ds.customer_graph(spark, d), ["HAS_PRIORITY", "HAS_NATION"], community=False)
+    return f.select("id", "degree", "unique_neighbors", "degree_entity", "similar_count", "max_similarity", "clustering_coeff", "HAS_PRIORITY_degree", "HAS_NATION_degree", F.round("pagerank", 9).alias("pagerank"))
+
+
+@q("with e as (select lower('entity:' || c.c_name) as a, lower('entity:' || t.c_name) as b from customer c join customer t on c.c_custkey % 97 = t.c_custkey), r as (select a, b from e union select b, a from e), k as (select a, count(*) as n from r group by a) select lower('entity:' || c_name) as id, coalesce(n, 0) as degree_entity, 0::bigint as degree_concept from customer left join k on a = lower('entity:' || c_name)")
+def degree_kinds(spark, d):
+    return structure.degrees(ds.referral_graph(spark, d)).select("id", "degree_entity", "degree_concept")
+
+
+@q("with e as (select vec_id, embedding::double[] as e, label from embeddings), p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 4) as w from e a join e b on a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.4), t as (select a as id, w from p union all select b, w from p) select 'entity:' || vec_id as id, 1 + count(w) as degree, count(w) as similar_count, round(coalesce(avg(w), 0), 5) as avg_similarity, coalesce(max(w), 0) as max_similarity from e left join t on t.id = vec_id group by vec_id")
+def build_with_similarity(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    g = build.build(v, build.Config("name", "vec_id", categorical=["label"]))
+    g = build.add_similarity(g, v.select(F.concat(F.lit("entity:"), "name").alias("id"), "embedding"), 0.4)
+    return structure.degrees(g.kept()).select("id", "degree", "similar_count", F.round("avg_similarity", 5).alias("avg_similarity"), "max_similarity")
+
+
+@q(f"with {_SNAP}, k as (select snapshot, 'entity:' || o_custkey as id, o_orderpriority as p, {BUCKET.format(x='o_totalprice')} as b from orders join s on o_orderdate <= snapshot), f as (select snapshot, id, count(distinct p) + count(distinct b) as degree, count(*) as n_events from k group by 1, 2), y as (select snapshot, 'entity:' || o_custkey as id, max((o_orderstatus = 'F')::int) as label from orders join s on o_orderdate > snapshot and o_orderdate <= snapshot + interval 180 day group by 1, 2) select strftime(f.snapshot, '%Y-%m-%d') as snapshot, f.id, degree, n_events, coalesce(label, 0) as label from f left join y on y.snapshot = f.snapshot and y.id = f.id")
+def temporal_dataset(spark, d):
+    return temporal.dataset(ds.order_events(spark, d), _DATES, ds.ORDERS, "status", "F").withColumn("snapshot", F.date_format("snapshot", "yyyy-MM-dd"))
+
+
+@q(f"{_SCORE} select nw.id, coalesce(any_value(na.d), 0) as degree, string_agg(peer, ',' order by rank) as knn_peers, round(coalesce(avg(distance), 0), 6) as avg_distance from nw left join na using (id) left join ps using (id) group by nw.id")
+def freeze_score(spark, d):
+    """A graph written and frozen, then new records scored against it."""
+    import uuid
+
+    _, new, owned = _frozen(spark, d)
+    old = build.build(ds.customers(spark, d).filter("c_custkey % 10 <> 0"), ds.CUSTOMER)
+    f = temporal.freeze(old, f"{folder(spark)}/{uuid.uuid4().hex}", owned, 5)
+    return temporal.score_batch(f, new, owned, with_peers=True).select("id", "degree", "knn_peers", F.round("avg_distance", 6).alias("avg_distance"))
+
+
+@q("with recursive e as (select lower('entity:' || c_name) as a, lower('segment:' || c_mktsegment) as b, 'HAS_SEGMENT' as t from customer union select lower('entity:' || c.c_name), lower('entity:' || t.c_name), 'REFERRED_BY' from customer c join customer t on c.c_custkey % 97 = t.c_custkey), m as (select least(a, b) as x, greatest(a, b) as y, t from e group by 1, 2, 3), adj as (select x, y from m union select y, x from m), near as (select 'segment:building' as id union select y from adj where x = 'segment:building') select x, y, t as etype from m where x in (select id from near) or y in (select id from near)")
+def neighborhood_edges(spark, d):
+    e = similar.neighborhood_edges(ds.referral_graph(spark, d), "segment:building", 2)
+    return e.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "etype").distinct()
+
+
+@q("select count(distinct url) as n_sources, count(*) as n_pages from pages where html is not null")
+def url_source(spark, d):
+    from graphloom.sources import files
+
+    s = files.read_urls(read(spark, d, "pages"))
+    return s.agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_pages"))

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir.  Where that is unset, one is made only for a session on one machine."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="graph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder, spark.checkpoint.dir.  Where that is unset, one is made only for a session on one machine."""
+    """A checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="graph-"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

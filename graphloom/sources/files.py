@@ -11,7 +11,7 @@ EXTENSIONS = tuple("txt md rst csv tsv json jsonl yaml yml xml html htm log ini
 
 
 def _decoded(df: DataFrame) -> DataFrame:
-    text = F.decode(F.col("content"), "UTF-8")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))  # bytes that are no UTF-8 are left out
     name = F.element_at(F.split("path", "/"), -1)
     return df.select(F.col("path").alias("source"), name.alias("filename"), text.alias("text")).filter(tx.strip(F.col("text")) != "")
 
@@ -36,6 +36,16 @@ def raw(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(tx.text_source_label(F.col(column)).alias("source"), F.lit(None).cast("string").alias("filename"), F.col(column).alias("text"))
 
 
+def read_urls(pages: DataFrame, urls: list[str] | None = None) -> DataFrame:
+    """Fetched pages (url, html) as sources, as plain text; all, or those of a stated list of addresses."""
+    from graphloom.operators import pages as pg
+
+    asked = pages.filter(F.col("url").isin(urls)) if urls is not None else pages
+    text = pg.texts(asked).withColumnRenamed("text", "_text")
+    found = asked.select("page_id", "url").join(text.select("page_id", "_text"), "page_id")
+    return found.select(F.col("url").alias("source"), F.lit(None).cast("string").alias("filename"), F.col("_text").alias("text")).filter(tx.strip(F.col("text")) != "")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records by extension: Parquet, JSON lines or CSV with a header."""
     if path.endswith((".json", ".jsonl")):
