@@ -90,7 +90,7 @@ def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.ndarray, rows: int, least: float = 8.0, block: int = 512) -> np.ndarray:
-    """Terms of all pairs that have label 1 `least` standard errors more or less often than the product of their own odds would have it.
+    """`doc` ascends.  Terms of all pairs that have label 1 `least` standard errors more or less often than the product of their own odds would have it.
 
     Of terms that one in a hundred texts (and three) have, on up to `rows` texts of either label.
     """
@@ -98,24 +98,29 @@ def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.nd
     often = np.flatnonzero((df >= max(3, n // 100)) & (df < n))
     at = np.full(1 << BITS, -1, np.int32)
     at[often] = np.arange(len(often))
-    place = np.full(n, -1, np.int64)
     kinds = [np.flatnonzero(label == y)[:rows] for y in (1, 0)]
     if not len(often) or min(map(len, kinds)) == 0:
         return often[:0]
-    place[kinds[0]], place[kinds[1]] = np.arange(len(kinds[0])), len(kinds[0]) + np.arange(len(kinds[1]))
-    use = (at[bucket] >= 0) & (place[doc] >= 0)
-    term, row = at[bucket[use]], place[doc[use]]
-    order = np.argsort(term, kind="stable")
-    term, row = term[order], row[order]
+    chosen = np.concatenate(kinds)
+    begin, size = np.searchsorted(doc, chosen), np.searchsorted(doc, chosen, "right") - np.searchsorted(doc, chosen)
+    term, row = [], []
+    for i in range(0, len(chosen), 256):  # in parts, as all places at once would be the largest array here
+        t = at[bucket[tc.ragged(begin[i : i + 256], size[i : i + 256])]]
+        r = np.repeat(np.arange(i, min(i + 256, len(chosen)), dtype=np.int32), size[i : i + 256])
+        order = np.argsort(t, kind="stable")
+        order = order[np.searchsorted(t[order], 0) :]
+        term.append(t[order])
+        row.append(r[order])
     n1, n0 = map(len, kinds)
 
     def dense(i: int) -> np.ndarray:
-        a, b = np.searchsorted(term, [i, i + block])
         x = np.zeros((n1 + n0, min(block, len(often) - i)), np.float32)
-        x[row[a:b], term[a:b] - i] = 1
+        for t, r in zip(term, row, strict=True):
+            a, b = np.searchsorted(t, [i, i + block])
+            x[r[a:b], t[a:b] - i] = 1
         return x
 
-    one, none = np.bincount(term[row < n1], minlength=len(often)), np.bincount(term[row >= n1], minlength=len(often))
+    one, none = (sum(np.bincount(t[(r < n1) == side], minlength=len(often)) for t, r in zip(term, row, strict=True)) for side in (True, False))
     own = (np.log((one + 0.5) / (n1 + 1)) - np.log((none + 0.5) / (n0 + 1))).astype(np.float32)
     lean = np.float32(np.log(n0 / n1))
     told = np.zeros(len(often), bool)
@@ -144,18 +149,22 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
         if prior == 1.0:
             none.bias = 4.0
         return none
-    df = np.bincount(bucket, minlength=1 << BITS)
-    pos = np.bincount(bucket[label[doc] > 0], minlength=1 << BITS)
+    df, pos, one = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), label > 0
+    for i in range(0, len(bucket), 1 << 21):
+        some = bucket[i : i + (1 << 21)]
+        df += np.bincount(some, minlength=1 << BITS)
+        pos += np.bincount(some[one[doc[i : i + (1 << 21)]]], minlength=1 << BITS)
     z = (pos - prior * df) / np.sqrt(df * prior * (1 - prior) + 1)
     use = np.flatnonzero((df >= min(3, 1 + n // 100)) & (np.abs(z) > 2.5))
     use = use[np.argsort(-np.abs(z[use]), kind="stable")][:kept]
     use = np.union1d(use, pair_terms(doc, bucket, label, df, pair_rows))
     at = np.full(1 << BITS, -1, np.int32)
     at[use] = np.arange(len(use))
-    keep = at[bucket] >= 0
+    known = np.zeros(1 << BITS, bool)
+    known[use] = True
+    keep = known[bucket]
     doc, term = doc[keep], at[bucket[keep]]
-    order = np.argsort(doc, kind="stable")
-    doc, term = doc[order], term[order]
+    del bucket, keep
     begin = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     m = Machine(use, float(np.log(prior / (1 - prior))), np.zeros(len(use)), rng.normal(0, 0.01, (len(use), rank)))
@@ -185,7 +194,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
             gv[hit] += dv[hit] ** 2
             m.weight[hit] -= rate * 4 * dw[hit] / np.sqrt(gw[hit])
             m.factor[hit] -= rate * dv[hit] / np.sqrt(gv[hit])
-    p = m.score(doc, term, n)
+    p = np.concatenate([m.score(doc[begin[i] : begin[min(n, i + 256)]] - i, term[begin[i] : begin[min(n, i + 256)]], min(256, n - i)) for i in range(0, n, 256)])
     m.bias -= _cut(np.log(p / (1 - p)), label)
     return m
 
@@ -218,13 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, max_terms:
 
     made = written(map_arrow(chosen, run, "doc_id long, y int, terms binary"))
     so_far = F.sum(F.octet_length("terms") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "terms"))  # over at most max_rows rows
-    t = made.select("*", so_far.alias("so_far")).filter(F.col("so_far") <= max_terms).drop("so_far").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")]).combine_chunks()
-    if not t.num_rows:
-        return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), **options)
-    label = t["y"].to_numpy().astype(float)
-    size = pa.compute.binary_length(t["terms"]).to_numpy() // 4
-    bucket = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in t["terms"]])
-    del t
+    label, size, held = [], [], bytearray()
+    for r in made.select("*", so_far.alias("so_far")).filter(F.col("so_far") <= max_terms).select("y", "terms").toLocalIterator():  # in the window's order
+        label.append(r["y"])
+        size.append(len(r["terms"]) // 4)
+        held += r["terms"]
+    label, size, bucket = np.array(label, float), np.array(size, np.int64), np.frombuffer(held, "<i4")
     return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, label, **options)
 
 
