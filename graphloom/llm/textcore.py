@@ -80,6 +80,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    with contextlib.suppress(NameError, AttributeError):  # what a task has freed goes back before the worker waits for the next one
+        _libc.malloc_trim(0)
 
 
 def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
