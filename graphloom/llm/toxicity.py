@@ -11,6 +11,7 @@ their own odds, whatever each of them tells alone; all terms of such pairs enter
 
 Fitting uses a bounded sample of labelled rows, `max_rows` and at most `max_terms` terms of
 them, those least by hash; the pair test takes `pair_rows` of either label from the sample.
+The sample stays in the shared folder; the driver reads it in parts and holds counts and the places of the terms that enter.
 Scoring reads every whole text once and shuffles nothing.
 
 Cases: a null or empty text has no terms and gets the score of the bias; a text of any
@@ -24,22 +25,25 @@ are called, are ignored by `score` and kept by `reject`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.shared import map_arrow, remainder, texts, written
+from graphloom.llm.shared import filesystem, map_arrow, remainder, texts, written
 
 BITS = 20
 FOLDS = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+PART = 1 << 18  # terms that the fit reads at once, where they are in memory already
+Parts = Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]]  # again and again: documents, ascending, and their buckets
 _PUNCT = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 
@@ -89,11 +93,19 @@ def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
+def _parts(doc: np.ndarray, bucket: np.ndarray) -> Parts:
+    return lambda: ((doc[i : i + PART], bucket[i : i + PART]) for i in range(0, len(doc), PART))
+
+
 def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.ndarray, rows: int, least: float = 8.0, block: int = 512) -> np.ndarray:
-    """`doc` ascends.  Terms of all pairs that have label 1 `least` standard errors more or less often than the product of their own odds would have it.
+    """Terms of all pairs that have label 1 `least` standard errors more or less often than the product of their own odds would have it.
 
     Of terms that one in a hundred texts (and three) have, on up to `rows` texts of either label.
     """
+    return _pair_terms(_parts(doc, bucket), label, df, rows, least, block)
+
+
+def _pair_terms(parts: Parts, label: np.ndarray, df: np.ndarray, rows: int, least: float = 8.0, block: int = 512) -> np.ndarray:
     n = len(label)
     often = np.flatnonzero((df >= max(3, n // 100)) & (df < n))
     at = np.full(1 << BITS, -1, np.int32)
@@ -102,15 +114,16 @@ def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.nd
     if not len(often) or min(map(len, kinds)) == 0:
         return often[:0]
     chosen = np.concatenate(kinds)
-    begin, size = np.searchsorted(doc, chosen), np.searchsorted(doc, chosen, "right") - np.searchsorted(doc, chosen)
+    number = np.full(n, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
     term, row = [], []
-    for i in range(0, len(chosen), 256):  # in parts, as all places at once would be the largest array here
-        t = at[bucket[tc.ragged(begin[i : i + 256], size[i : i + 256])]]
-        r = np.repeat(np.arange(i, min(i + 256, len(chosen)), dtype=np.int32), size[i : i + 256])
+    for doc, bucket in parts():
+        t, r = at[bucket], number[doc]
+        both = (t >= 0) & (r >= 0)
+        t, r = t[both], r[both]
         order = np.argsort(t, kind="stable")
-        order = order[np.searchsorted(t[order], 0) :]
-        term.append(t[order])
-        row.append(r[order])
+        term.append(t[order].astype(np.uint16 if len(often) <= 1 << 16 else np.int32))
+        row.append(r[order].astype(np.uint16 if len(chosen) <= 1 << 16 else np.int32))
     n1, n0 = map(len, kinds)
 
     def dense(i: int) -> np.ndarray:
@@ -141,7 +154,11 @@ def pair_terms(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, df: np.nd
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096, pair_rows: int = 4000, rank: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adagrad on the log loss, over terms that tell alone or in pairs."""
+    """Adagrad on the log loss, over terms that tell alone or in pairs.  `doc` ascends."""
+    return _fit(_parts(doc, bucket), label, kept, pair_rows, rank, epochs, rate, decay, seed)
+
+
+def _fit(parts: Parts, label: np.ndarray, kept: int = 4096, pair_rows: int = 4000, rank: int = 8, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
     n = len(label)
     prior = float(label.mean()) if n else 0.0
     none = Machine(np.zeros(0, np.int64), float(np.log(min(max(prior, 1e-6), 0.5 - 1e-6) / (1 - min(max(prior, 1e-6), 0.5 - 1e-6)))) if n else -4e-6, np.zeros(0), np.zeros((0, rank)))
@@ -150,22 +167,25 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
             none.bias = 4.0
         return none
     df, pos, one = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), label > 0
-    for i in range(0, len(bucket), 1 << 21):
-        some = bucket[i : i + (1 << 21)]
-        df += np.bincount(some, minlength=1 << BITS)
-        pos += np.bincount(some[one[doc[i : i + (1 << 21)]]], minlength=1 << BITS)
+    for doc, bucket in parts():
+        df += np.bincount(bucket, minlength=1 << BITS)
+        pos += np.bincount(bucket[one[doc]], minlength=1 << BITS)
     z = (pos - prior * df) / np.sqrt(df * prior * (1 - prior) + 1)
     use = np.flatnonzero((df >= min(3, 1 + n // 100)) & (np.abs(z) > 2.5))
     use = use[np.argsort(-np.abs(z[use]), kind="stable")][:kept]
-    use = np.union1d(use, pair_terms(doc, bucket, label, df, pair_rows))
+    del z, pos
+    use = np.union1d(use, _pair_terms(parts, label, df, pair_rows))
+    del df
     at = np.full(1 << BITS, -1, np.int32)
     at[use] = np.arange(len(use))
-    known = np.zeros(1 << BITS, bool)
-    known[use] = True
-    keep = known[bucket]
-    doc, term = doc[keep], at[bucket[keep]]
-    del bucket, keep
-    begin = np.searchsorted(doc, np.arange(n + 1))
+    held, size = [], np.zeros(n, np.int64)
+    for doc, bucket in parts():
+        t = at[bucket]
+        held.append(t[t >= 0])
+        size += np.bincount(doc[t >= 0], minlength=n)
+    term = np.concatenate(held)
+    del held, at
+    begin = np.concatenate([[0], np.cumsum(size)])
     rng = np.random.default_rng(seed)
     m = Machine(use, float(np.log(prior / (1 - prior))), np.zeros(len(use)), rng.normal(0, 0.01, (len(use), rank)))
     gb, gw, gv = 1e-8, np.full(len(use), 1e-8), np.full(m.factor.shape, 1e-8)
@@ -173,9 +193,8 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
         perm = rng.permutation(n)
         for i in range(0, n, 128):
             rows = perm[i : i + 128]
-            size = begin[rows + 1] - begin[rows]
-            t = term[tc.ragged(begin[rows], size)]
-            d = np.repeat(np.arange(len(rows)), size)
+            t = term[tc.ragged(begin[rows], size[rows])]
+            d = np.repeat(np.arange(len(rows)), size[rows])
             p = m.score(d, t, len(rows))
             g = (p - label[rows]) / len(rows)
             gb += g.sum() ** 2
@@ -194,7 +213,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, kept: int = 4096
             gv[hit] += dv[hit] ** 2
             m.weight[hit] -= rate * 4 * dw[hit] / np.sqrt(gw[hit])
             m.factor[hit] -= rate * dv[hit] / np.sqrt(gv[hit])
-    p = np.concatenate([m.score(doc[begin[i] : begin[min(n, i + 256)]] - i, term[begin[i] : begin[min(n, i + 256)]], min(256, n - i)) for i in range(0, n, 256)])
+    p = np.concatenate([m.score(np.repeat(np.arange(min(256, n - i)), size[i : i + 256]), term[begin[i] : begin[min(n, i + 256)]], min(256, n - i)) for i in range(0, n, 256)])
     m.bias -= _cut(np.log(p / (1 - p)), label)
     return m
 
@@ -227,13 +246,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16000, max_terms:
 
     made = written(map_arrow(chosen, run, "doc_id long, y int, terms binary"))
     so_far = F.sum(F.octet_length("terms") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "terms"))  # over at most max_rows rows
-    label, size, held = [], [], bytearray()
-    for r in made.select("*", so_far.alias("so_far")).filter(F.col("so_far") <= max_terms).select("y", "terms").toLocalIterator():  # in the window's order
-        label.append(r["y"])
-        size.append(len(r["terms"]) // 4)
-        held += r["terms"]
-    label, size, bucket = np.array(label, float), np.array(size, np.int64), np.frombuffer(held, "<i4")
-    return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), bucket, label, **options)
+    held = written(made.select("*", so_far.alias("so_far")).filter(F.col("so_far") <= max_terms).select("y", "terms"))  # in the window's order
+    paths = sorted(held.inputFiles())
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = 0
+        for b in _batches(paths, ["terms"]):
+            rows = b["terms"].to_pylist()
+            yield np.repeat(np.arange(n, n + len(rows), dtype=np.int32), [len(x) // 4 for x in rows]), np.frombuffer(b"".join(rows), "<i4")
+            n += len(rows)
+
+    return _fit(parts, np.array([y for b in _batches(paths, ["y"]) for y in b["y"].to_pylist()], float), **options)
+
+
+def _batches(paths: list[str], columns: list[str], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A few rows of a Parquet table at a time, read through a small buffer."""
+    for path in paths:
+        fs, at = filesystem(path)
+        with fs.open_input_file(at) as f:
+            yield from pa.parquet.ParquetFile(f, buffer_size=1 << 20).iter_batches(rows, columns=columns, use_threads=False)
 
 
 def score(docs: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -188,6 +188,32 @@ def test_toxicity(spark, docs, empty):
     assert {round(r["score"], 3) for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_sample_stays_off_the_driver(spark, monkeypatch):
+    """The fit reads its sample in parts from the shared folder: none of it goes through the driver's JVM, and parts change nothing."""
+    r = random.Random(6)
+    d = spark.createDataFrame([(i, " ".join(["bad"] * (i % 3 == 0) + [r.choice(VOCAB) for _ in range(30)])) for i in range(900)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    whole, plain = [], toxicity._fit
+
+    def both(parts, label, **options):
+        made = list(parts())
+        assert len(made) > 1
+        whole.append(toxicity.fit(np.concatenate([x for x, _ in made]), np.concatenate([x for _, x in made]), label, **options))
+        return plain(parts, label, **options)
+
+    def refused(*_, **__):
+        raise AssertionError("rows go to the driver")
+
+    monkeypatch.setattr(toxicity, "_fit", lambda parts, label, *a, **o: both(parts, label, **o) if not whole and not a else plain(parts, label, *a, **o))
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(d), name, refused)
+    m = toxicity.train(d, lab)
+    assert len(m.buckets)
+    for name in ("buckets", "weight", "factor"):
+        assert np.array_equal(getattr(m, name), getattr(whole[0], name))
+    assert m.bias == whole[0].bias
+
+
 def test_toxicity_scores_by_hand(spark):
     """Scores of the query's rule recomputed from the machine, one document and one pair of terms at a time."""
     r = random.Random(4)
