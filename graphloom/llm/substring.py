@@ -54,15 +54,52 @@ def _ids(b: pa.RecordBatch) -> np.ndarray:
     return tc.column(b, "doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def _planes(x: np.ndarray, kind: str = "<u4") -> bytes:
-    """Numbers as byte planes: the shuffle's compression all but removes those that hardly change."""
-    x = np.ascontiguousarray(x.astype(kind))
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _unplanes(data: pa.Scalar, kind: str = "<u4") -> np.ndarray:
-    k = np.dtype(kind)
-    return np.frombuffer(data.as_buffer(), np.uint8).reshape(k.itemsize, -1).T.copy().view(k).ravel().astype(np.int64)
+def _spots(size: np.ndarray, widths: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Column, byte and places of each byte plane, for cells of `size` items that hold one column's planes after the other's."""
+    width = sum(widths)
+    at, step, plane = tc.ragged((np.cumsum(size) - size) * width, size), np.repeat(size, size), 0
+    for c, w in enumerate(widths):
+        for k in range(w):
+            yield c, k, at + plane * step
+            plane += 1
+
+
+def _planes(columns: list[tuple[np.ndarray, str]], size: np.ndarray) -> pa.Array:
+    """One binary a cell: numbers as byte planes, of which the shuffle's compression all but removes those that hardly change.  All cells at once, as there are many small ones."""
+    widths = [np.dtype(kind).itemsize for _, kind in columns]
+    raw = [np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), w) for (x, kind), w in zip(columns, widths, strict=True)]
+    out = np.empty(int(size.sum()) * sum(widths), np.uint8)
+    for c, k, at in _spots(size, widths):
+        out[at] = raw[c][:, k]
+    return _binary(out, size * sum(widths))
+
+
+def _unplanes(cells: pa.Array, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all cells, and how many items each cell has."""
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    data, size = _bytes(cells)
+    size = size // sum(widths)
+    raw = [np.empty((int(size.sum()), w), np.uint8) for w in widths]
+    for c, k, at in _spots(size, widths):
+        raw[c][:, k] = data[at]
+    return [x.view(kind).ravel() for x, kind in zip(raw, kinds, strict=True)], size
+
+
+def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _bytes(cells: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all cells in a row, and each cell's length."""
+    parts = [x.cast(pa.large_binary()) for x in (cells.chunks if isinstance(cells, pa.ChunkedArray) else [cells]) if len(x)]
+    data, size = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for x in parts:
+        off = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+        size.append(np.diff(off))
+        if off[-1] > off[0]:
+            data.append(np.frombuffer(x.buffers()[2], np.uint8)[off[0] : off[-1]])
+    return np.concatenate(data) if len(data) > 2 else data[-1], np.concatenate(size)
 
 
 def _blocks(total: int) -> int:
@@ -94,19 +131,18 @@ def _found(rows: DataFrame, k: int, seed: int, total: int) -> DataFrame:
             which = doc[run]
             ids, row = _ids(b)[which], (tc.int64(b, ROW) % CHUNK)[which]
             grams = grams[order]
-            edge = np.append(cell, len(doc)).tolist()
-            part = np.append(np.searchsorted(run, cell), len(run)).tolist()
+            per_cell = np.diff(np.append(cell, len(doc)))
+            runs_of = np.diff(np.append(np.searchsorted(run, cell), len(run)))
             file, chunk = chunk_of(b)
             n = len(cell)
-            cells = list(zip(edge[:-1], edge[1:], part[:-1], part[1:], strict=True))
             yield pa.record_batch(
                 [
                     pa.array(block[cell]),
                     pa.array([file] * n),
                     pa.array([chunk] * n, pa.int64()),
-                    pa.array([_planes(ids[p:q], "<i8") + _planes(row[p:q], "<u2") + _planes(size[p:q]) for _, _, p, q in cells], pa.binary()),
-                    pa.array([grams[i:j].tobytes() for i, j, _, _ in cells], pa.binary()),
-                    pa.array([_planes(step[i:j]) for i, j, _, _ in cells], pa.binary()),
+                    _planes([(ids, "<i8"), (row, "<u2"), (size, "<u4")], runs_of),
+                    _binary(grams.view(np.uint8), per_cell * 8),
+                    _planes([(step, "<u4")], per_cell),
                 ],
                 names=["block", "file", "chunk", "docs", "grams", "places"],
             )
@@ -114,21 +150,15 @@ def _found(rows: DataFrame, k: int, seed: int, total: int) -> DataFrame:
     def look_up(table: pa.Table) -> pa.Table:
         """All phrases of one block: which an earlier document has, and where."""
         t = table.combine_chunks()
-        grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]])
-        ids, row, place, cell = (np.empty(len(grams), kind) for kind in (np.int64, np.uint16, np.uint32, np.int32))
-        cut = [0]
-        for c, (docs, steps) in enumerate(zip(t["docs"], t["places"], strict=True)):
-            raw = np.frombuffer(docs.as_buffer(), np.uint8)
-            n = len(raw) // 14
-            planes = [raw[a * n : z * n].reshape(z - a, n).T.copy().view(kind).ravel() for a, z, kind in ((0, 8, "<i8"), (8, 10, "<u2"), (10, 14, "<u4"))]
-            size = planes[2].astype(np.int64)
-            d = _unplanes(steps)
-            total, first = np.cumsum(d), np.cumsum(size) - size
-            i, j = cut[-1], cut[-1] + len(d)
-            ids[i:j], row[i:j] = np.repeat(planes[0], size), np.repeat(planes[1], size)
-            place[i:j] = total - np.repeat(total[first] - d[first], size)
-            cell[i:j] = c
-            cut.append(j)
+        grams = _bytes(t["grams"])[0].view(np.uint64)
+        (steps,), per_cell = _unplanes(t["places"], ["<u4"])
+        (run_id, run_row, run_size), runs_of = _unplanes(t["docs"], ["<i8", "<u2", "<u4"])
+        size = run_size.astype(np.int64)
+        ids, row, cell = np.repeat(run_id, size), np.repeat(run_row, size), np.repeat(np.arange(len(per_cell), dtype=np.int32), per_cell)
+        total, first = np.cumsum(steps, dtype=np.int64), np.cumsum(size) - size
+        place = (total - np.repeat(total[first] - steps[first], size)).astype(np.uint32)
+        cut = np.concatenate([[0], np.cumsum(per_cell)])
+        del steps, total, run_id, run_row, run_size, runs_of, first, size
         order = np.argsort(grams, kind="stable")
         grams = grams[order]
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
@@ -146,16 +176,16 @@ def _found(rows: DataFrame, k: int, seed: int, total: int) -> DataFrame:
         hit, source = hit[turn], source[turn]
         files, chunks = t["file"].dictionary_encode().combine_chunks(), t["chunk"].to_numpy()
         number = files.indices.to_numpy()
-        out: list[list] = [[], [], [], []]
-        edge = np.searchsorted(hit, cut)
-        for c in np.flatnonzero(np.diff(edge)).tolist():
-            h, s = hit[edge[c] : edge[c + 1]], source[edge[c] : edge[c + 1]]
-            names, at = np.unique(number[cell[s]], return_inverse=True)
-            data = _planes(row[h], "<u2") + _planes(place[h]) + _planes(at, "<u2") + _planes(chunks[cell[s]] * CHUNK + row[s]) + _planes(place[s].astype(np.int64) - place[h], "<i4")
-            for col, v in zip(out, (files.indices[c].as_py(), int(chunks[c]), names.tolist(), data), strict=True):
-                col.append(v)
+        hits = np.diff(np.searchsorted(hit, cut))
+        some = np.flatnonzero(hits)
+        hits = hits[some]
+        # the files of each cell's sources, and which of them each source is in
+        names, at = np.unique(np.repeat(np.arange(len(some)), hits) * len(files.dictionary) + number[cell[source]], return_inverse=True)
+        begin = np.searchsorted(names, np.arange(len(some) + 1) * len(files.dictionary))
+        data = _planes([(row[hit], "<u2"), (place[hit], "<u4"), (at - np.repeat(begin[:-1], hits), "<u2"), (chunks[cell[source]] * CHUNK + row[source], "<u4"), (place[source].astype(np.int64) - place[hit], "<i4")], hits)
         name = files.dictionary
-        return pa.table([name.take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int64()), pa.array([[name[i].as_py() for i in x] for x in out[2]], pa.list_(pa.string())), pa.array(out[3], pa.binary())], names=["file", "chunk", "sources", "data"])
+        sources = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), name.take(pa.array(names % max(1, len(name)), pa.int32())))
+        return pa.table([name.take(pa.array(number[some], pa.int32())), pa.array(chunks[some]), sources, data], names=["file", "chunk", "sources", "data"])
 
     cells = map_arrow(rows, phrases, "block long, file string, chunk long, docs binary, grams binary, places binary")
     return cells.groupBy("block").applyInArrow(look_up, "file string, chunk long, sources array<string>, data binary")
@@ -172,16 +202,14 @@ def _store(folder: str, k: int):
     def store(key: tuple, table: pa.Table) -> pa.Table:
         """The factors of one chunk of rows, in its side file."""
         file, chunk = (x.as_py() for x in key)
-        names = sorted({s for x in table["sources"].to_pylist() for s in x})
-        of = {s: i for i, s in enumerate(names)}
-        cols: list[list] = [[], [], [], [], []]
-        for sources, data in zip(table["sources"].to_pylist(), table["data"], strict=True):
-            raw = np.frombuffer(data.as_buffer(), np.uint8)
-            n = len(raw) // 16
-            for c, a, z, kind in zip(cols, (0, 2, 6, 8, 12), (2, 6, 8, 12, 16), ("<u2", "<u4", "<u2", "<u4", "<i4"), strict=True):
-                c.append(raw[a * n : z * n].reshape(z - a, n).T.copy().view(kind).ravel())
-            cols[2][-1] = np.array([of[s] for s in sources], np.uint32)[cols[2][-1]]
-        row, place, source, source_row, shift = (np.concatenate(c) for c in cols)
+        t = table.combine_chunks()
+        (row, place, at, source_row, shift), hits = _unplanes(t["data"], ["<u2", "<u4", "<u2", "<u4", "<i4"])
+        per_cell = pa.compute.list_value_length(t["sources"]).to_numpy()
+        coded = pa.compute.list_flatten(t["sources"]).combine_chunks().dictionary_encode()
+        order = np.argsort(np.array(coded.dictionary.to_pylist(), dtype=np.str_))
+        names, rank = [coded.dictionary[int(i)].as_py() for i in order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        source = rank[coded.indices.to_numpy()[np.repeat(np.cumsum(per_cell) - per_cell, hits) + at]]
         order = np.argsort(row.astype(np.int64) << 40 | place)
         row, place, source, source_row, shift = (x[order].astype(np.int64) for x in (row, place, source, source_row, shift))
         first, n = factors(row, place, source, source_row, shift)

@@ -147,6 +147,28 @@ def test_substring(docs, empty):
     assert left == {(i, n - m) for i, n, m, _ in got}
 
 
+def test_byte_planes_of_many_cells():
+    """All cells in one call, each laid out as if it were alone, and read back; empty cells among them."""
+    r = np.random.default_rng(8)
+    size = r.integers(0, 4, 20000)
+    a, b = r.integers(-(1 << 40), 1 << 40, int(size.sum())), r.integers(0, 1 << 16, int(size.sum()))
+    cells = substring._planes([(a, "<i8"), (b, "<u2")], size)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    for c in range(0, 20000, 977):
+        i, j = edge[c], edge[c + 1]
+        alone = b"".join(x[i:j].astype(k).view(np.uint8).reshape(j - i, int(k[2])).T.tobytes() for x, k in ((a, "<i8"), (b, "<u2")))
+        assert cells[c].as_py() == alone
+    for held in (cells, pa.chunked_array([cells[:0], cells[:7000], cells[7000:]])):
+        (x, y), n = substring._unplanes(held, ["<i8", "<u2"])
+        assert np.array_equal(x, a) and np.array_equal(y, b) and np.array_equal(n, size)
+    assert substring._planes([(a[:0], "<i8")], size[:0]).to_pylist() == [] and substring._planes([(a[:0], "<i8")], size[:3] * 0).to_pylist() == [b""] * 3
+
+
+def test_nothing_repeats(spark):
+    made = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(6)]
+    assert [r["n_removed"] for r in substring.dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()] == [0] * 6
+
+
 def test_quality(docs, empty, tmp_path):
     import duckdb
 
