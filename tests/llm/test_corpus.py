@@ -334,6 +334,22 @@ def test_a_hot_band_and_the_exact_way(spark, monkeypatch, loose):
     assert all(x["class_id"] == (0 if i % 3 == 0 else i) for i, x in got.items())
 
 
+@pytest.mark.parametrize("part", [1 << 19, 40])
+def test_components_take_few_rounds(spark, monkeypatch, part):
+    """Long chains against union by hand, in few tables written; in small parts too, which only take longer."""
+    from graphloom.llm import components
+
+    r, n, made = random.Random(12), 600, []
+    monkeypatch.setattr(components, "PART", part)
+    monkeypatch.setattr(components, "written", lambda df, plain=components.written: made.append(1) or plain(df))
+    name = r.sample(range(10**6), n)
+    pairs = [(name[i], name[i + 1]) for i in range(n - 1) if i % 200 != 199]
+    r.shuffle(pairs)
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {name[i]: min(name[i // 200 * 200 : i // 200 * 200 + 200]) for i in range(n)}
+    assert part == 40 or len(made) <= 3
+
+
 def test_registers_estimate_similarity():
     e = tc.mix(np.arange(1, 301, dtype=np.uint64))
     a, b = e[:200], e[100:300]
