@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import build, similar
+from graphloom.operators import blocks, build, similar, structure
 
 CONFIG = build.Config("name", "k", categorical=["a", "b"], relationships={"knows": "KNOWS"})
 
@@ -50,3 +50,17 @@ def test_find_similar_query_has_every_record(spark):
     n = spark.read.parquet(f"{d}/customer.parquet").count()
     assert entry.queries()["find_similar"](spark, d).select("source").distinct().count() == n
     assert "ord % 50" not in entry.oracle_sql()["find_similar"]
+
+
+@pytest.mark.parametrize("method", ["adamic_adar", "shared_count", "jaccard"])
+def test_projection_totals_against_pairs(small, method, monkeypatch):
+    monkeypatch.setattr(blocks, "ORDERED", 10)
+    monkeypatch.setattr(blocks, "STEP", 3)
+    monkeypatch.setattr(blocks, "KNOWN", 4)
+    want = {r["a"]: (r["n"], round(r["w"], 9)) for r in structure.projection(small, method).groupBy("a").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert {r["a"]: (r["pairs"], round(r["weight"], 9)) for r in structure.projection_totals(small, method).collect()} == want
+
+
+def test_projection_totals_of_hubs(hubs):
+    got = {r["a"]: (r["pairs"], r["weight"]) for r in structure.projection_totals(hubs, "shared_count").collect()}
+    assert len(got) == 19999 and got["entity:r00000"] == (14999, 19998.0) and got["entity:r19998"] == (1, 1.0)
