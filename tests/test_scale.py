@@ -64,3 +64,61 @@ def test_projection_totals_against_pairs(small, method, monkeypatch):
 def test_projection_totals_of_hubs(hubs):
     got = {r["a"]: (r["pairs"], r["weight"]) for r in structure.projection_totals(hubs, "shared_count").collect()}
     assert len(got) == 19999 and got["entity:r00000"] == (14999, 19998.0) and got["entity:r19998"] == (1, 1.0)
+
+
+def test_communities_in_blocks(small, hubs, monkeypatch):
+    whole = {tuple(r) for r in structure.communities(small).collect()}
+    assert len(whole) == 37
+    monkeypatch.setattr(blocks, "ASKED", 5)
+    monkeypatch.setattr(blocks, "KNOWN", 4)
+    assert {tuple(r) for r in structure.communities(small).collect()} == whole
+    found = structure.communities(hubs).groupBy("community_id", "community_size").count().collect()
+    assert sum(r["count"] for r in found) == 20000 and all(r["community_size"] == r["count"] for r in found)
+
+
+def _neighbours(g):
+    out = {}
+    for r in g.adjacency().filter("src <> dst").collect():
+        out.setdefault(r["src"], set()).add(r["dst"])
+    return out
+
+
+def test_clustering_and_rank_against_plain_loops(small):
+    near = _neighbours(small)
+    got = {r["id"]: r["clustering_coeff"] for r in structure.clustering(small).collect()}
+    assert len(got) == 37 and any(got.values())
+    for i, c in got.items():
+        pairs = list(itertools.combinations(sorted(near.get(i, ())), 2))
+        assert c == pytest.approx(sum(b in near[a] for a, b in pairs) / len(pairs) if pairs else 0)
+    every = {}
+    for r in small.adjacency().collect():
+        every.setdefault(r["src"], set()).add(r["dst"])
+    rank = dict.fromkeys(every, 1 / len(every))
+    for _ in range(20):
+        rank = {i: 0.15 / len(every) + 0.85 * sum(rank[j] / len(every[j]) for j in n) for i, n in every.items()}
+    assert {r["id"]: round(r["pagerank"], 12) for r in structure.pagerank(small).collect()} == {i: round(x, 12) for i, x in rank.items()}
+
+
+def test_clustering_of_a_hub(spark):
+    """A hub before 30,000 others in order: its 450 million pairs of neighbours are not made."""
+    rows = spark.range(30000).select(F.format_string("r%05d", "id").alias("name"), F.col("id").alias("k"), F.lit("x").alias("a"), F.lit(None).cast("string").alias("b"), F.when(F.col("id") > 0, "r00000").alias("knows"))
+    got = {r["id"]: r["clustering_coeff"] for r in structure.clustering(build.build(rows, CONFIG)).filter("id in ('entity:r00000', 'entity:r00007')").collect()}
+    assert got["entity:r00007"] == 1.0 and got["entity:r00000"] == pytest.approx(29999 / (30000 * 29999 / 2))
+
+
+def test_walks_follow_edges_by_weight(small, spark):
+    names = {r["h"]: r["id"] for r in small.nodes.select("id", F.xxhash64("id").alias("h")).collect()}
+    near = {}
+    for r in small.adjacency().collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    paths = [[names[x] for x in r["path"]] for r in structure.walked(small, 200, 3, 4.0).collect()]
+    assert len(paths) == 200 * len(near) and all(len(p) == 3 and all(b in near[a] for a, b in itertools.pairwise(p)) for p in paths)
+    met, drawn = {}, {}
+    for first, at, to in paths:
+        close = to == first or to in near[first]
+        k = len(near[at] & (near[first] | {first}))
+        total = k + (len(near[at]) - k) / 4
+        met[at] = met.get(at, 0) + close
+        drawn[at] = drawn.get(at, 0) + k / total
+    assert sum(met.values()) == pytest.approx(sum(drawn.values()), rel=0.05)
+    assert [tuple(r) for r in structure.walked(small, 2, 3).orderBy("first", "walk").collect()] == [tuple(r) for r in structure.walked(small, 2, 3).orderBy("first", "walk").collect()]
