@@ -140,3 +140,15 @@ def test_keyword_search_sends_only_the_best_of_a_batch(spark):
     s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 9 / mean)) for t, tf in (("common", 1), ("rare", 6)))
     assert got[0][2] == pytest.approx(s)
     assert [(r["query_id"], r["doc_id"], r["score"]) for r in p.overlap(1).orderBy("query_id").collect()] == [(1, 1, 2.0), (2, 0, 1.0)]
+
+
+def test_similar_pairs_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    x[7] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {(a, b): pytest.approx(w) for a, b in itertools.combinations(range(60), 2) if (w := float(unit[a] @ unit[b])) >= 0.4}
+    for block in (7, 2048):
+        assert {(r["a"], r["b"]): r["weight"] for r in similar.similar_pairs(v, 0.4, block).collect()} == want
